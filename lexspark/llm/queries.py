@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup
+from . import byte_bpe, minhash_dedup, token_store
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": minhash_dedup.query,
+        "op2_token_store": token_store.query,
+        "op8_byte_bpe": byte_bpe.query,
     }
 
 
