@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, minhash_dedup, token_store
+from . import byte_bpe, minhash_dedup, mixing, quality_classifier, quality_rules, token_store
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": minhash_dedup.query,
         "op2_token_store": token_store.query,
+        "op5_mixing": mixing.query,
+        "op7_quality_rules": quality_rules.query,
         "op8_byte_bpe": byte_bpe.query,
+        "op10_quality_classifier": quality_classifier.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": mixing.SQL,
+        "op7_quality_rules": quality_rules.SQL,
+    }
