@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, minhash_dedup, mixing, quality_classifier, quality_rules, token_store
+from . import byte_bpe, minhash_dedup, mixing, quality_classifier, quality_rules, token_store, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_minhash_near_dedup": minhash_dedup.query,
         "op2_token_store": token_store.query,
         "op5_mixing": mixing.query,
+        "op6_toxicity": toxicity.query,
         "op7_quality_rules": quality_rules.query,
         "op8_byte_bpe": byte_bpe.query,
         "op10_quality_classifier": quality_classifier.query,
