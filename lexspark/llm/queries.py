@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, minhash_dedup, mixing, quality_classifier, quality_rules, token_store, toxicity
+from . import byte_bpe, edit_counts, minhash_dedup, mixing, quality_classifier, quality_rules, token_store, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.query,
         "op7_quality_rules": quality_rules.query,
         "op8_byte_bpe": byte_bpe.query,
+        "op9_edit_token_counts": edit_counts.query,
         "op10_quality_classifier": quality_classifier.query,
     }
 
