@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann_forest, byte_bpe, edit_counts, minhash_dedup, mixing, quality_classifier, quality_rules, token_store, toxicity
+from . import ann_forest, byte_bpe, edit_counts, html_extract, minhash_dedup, mixing, quality_classifier, quality_rules, token_store, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": minhash_dedup.query,
         "op2_token_store": token_store.query,
+        "op3_html_extract": html_extract.query,
         "op4_ann_forest": ann_forest.query,
         "op5_mixing": mixing.query,
         "op6_toxicity": toxicity.query,
