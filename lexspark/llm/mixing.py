@@ -57,13 +57,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST,
+    weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, with_row: bool = False,
 ) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``times`` for every row of ``docs``.
 
     Null texts have size 0 and are never taken; a null source is a source of its own and comes last. Null
     ids share one draw. Ties of keys go by id, then by a hash of the text; repeated rows count as rows.
-    Reruns give the same rows. An empty table gives an empty table. Other columns are not read.
+    Reruns give the same rows. with_row adds ``row``, the 64-bit hash of the text. An empty table gives an empty table. Other columns are not read.
     """
     rows = materialise(sized(docs, id_col, text_col, source_col), "sizes")
     by = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -75,7 +75,7 @@ def mix(
     # The document that crosses the rest is taken if that brings the total nearer.
     more = (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("_rest"))
     times = (F.col("_epochs") + F.when(more, 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), *(["row"] if with_row else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

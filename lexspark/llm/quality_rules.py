@@ -86,7 +86,7 @@ def statistics(t: X.Texts) -> dict[str, np.ndarray]:
 
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SCHEMA = (
-    "row long, host string, doc_id long, " + ", ".join(f"{c} long" for c in _BASE)
+    "row long, host string, doc_id long, key long, " + ", ".join(f"{c} long" for c in _BASE)
     + ", lines array<long>, line_words array<int>, others array<long>"
 )
 
@@ -113,26 +113,29 @@ def _scan(batches):
             second[counts > 1] = line[edges[:-1][counts > 1] + 1]
             other = np.where(line == longest[doc], second[doc], longest[doc])
             lists = [pa.ListArray.from_arrays(edges.astype(np.int32), pa.array(v)) for v in (line.view(np.int64), words.astype(np.int32), other.view(np.int64))]
-            cols = [pa.array(np.arange(row, row + t.n)), batch.column("host").slice(t.first, t.n), batch.column("doc_id").slice(t.first, t.n)]
+            cols = [pa.array(np.arange(row, row + t.n)), batch.column("host").slice(t.first, t.n), batch.column("doc_id").slice(t.first, t.n), batch.column("key").slice(t.first, t.n)]
             row += t.n
             yield pa.RecordBatch.from_arrays(
                 [*cols, *(pa.array(s[c].astype(np.int64)) for c in _BASE), *lists],
-                names=["row", "host", "doc_id", *_BASE, "lines", "line_words", "others"],
+                names=["row", "host", "doc_id", "key", *_BASE, "lines", "line_words", "others"],
             )
 
 
 def assess(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED,
+    share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED, with_row: bool = False,
 ) -> DataFrame:
     """One row for each row: the statistics, ``n_removed_words``, ``base_failed`` and ``kept``.
 
+    with_row adds ``row``, the 64-bit hash of the text.
+
     Null texts count as empty: no words, hence base_failed. A null host is a host of its own. Repeated
     rows are judged alike. An empty table gives an empty table. Other columns are not read.
     """
     rows = docs.select(
-        F.col(host_col).cast("string").alias("host"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    )
+        F.col(host_col).cast("string").alias("host"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
+    )
     scanned = materialise(rows.mapInArrow(_scan, _SCHEMA), "lines")
     lines = scanned.select("row", "host", F.explode(F.arrays_zip("lines", "line_words", "others")).alias("l"))
     lines = lines.select("row", F.xxhash64("host", "l.lines").alias("line"), "host", F.col("l.line_words").alias("words"), F.col("l.others").alias("other"))
@@ -150,7 +153,7 @@ def assess(
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > round(100 * MOST_REPEATED) * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("n_removed_words") <= depleted * F.col("n_words"))
-    return out.select("doc_id", *_BASE, "n_removed_words", "base_failed", kept.alias("kept"))
+    return out.select("doc_id", *_BASE, "n_removed_words", "base_failed", kept.alias("kept"), *([F.col("key").alias("row")] if with_row else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

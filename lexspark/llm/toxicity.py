@@ -33,6 +33,7 @@ from .shared import materialise
 SPAN, DECAY, CUT, POWER = 5, 0.7, 0.5, 2
 SAMPLE, TOXIC_WORDS, OTHER_WORDS, SENTENCES = 20_000, 160, 40, 3
 LONG, STEP = 24, 8
+REMEMBERED = 1_000_000
 COST = 10_000.0
 SLICE = 600_000
 PAIRS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
@@ -123,7 +124,7 @@ def triples(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[n
 def _vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Triples of single words with equal codes added up, scaled to length one: word, code, weight."""
     letters = np.array([ord(c) for w in words for c in w], np.int64)
-    size = np.array([len(w) for w in words])
+    size = np.array([len(w) for w in words], np.int64)
     w, c, v = triples(letters, np.cumsum(size) - size, size)
     return _unit(w, c, v, len(words))
 
@@ -148,33 +149,65 @@ class Landmarks:
         self.most = np.zeros(1 << 18, np.float32)
         if len(used):
             self.most[used] = self.table.max(axis=1)
+        self.forget()
         self.gram = (self.table.T @ self.table).astype(float) ** POWER
 
+    def forget(self) -> None:
+        self.seen, self.slot = np.zeros(0, X.U64), np.zeros(0, np.int32)
+        self.known = np.zeros((0, len(self.words)), np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "slot", "known")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
     def near(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the words that are near a landmark, and their kernel values (0 for a cosine below ``CUT``)."""
-        _, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
-        start, size = found.start[first], found.size[first]
-        w, c, v = triples(found.letters, start, size)
-        bound = np.bincount(w, v * self.most[c], minlength=len(first))
+        """Index of the words that are near a landmark, and their kernel values (0 for a cosine below ``CUT``).
+
+        A worker compares each distinct word once; it starts afresh after ``REMEMBERED`` words, which
+        bounds memory and changes no result.
+        """
+        if len(self.seen) > REMEMBERED or len(self.known) > REMEMBERED // 20:
+            self.forget()
+        key, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.seen, key)
+        fresh = np.ones(len(key), bool)
+        inside = at < len(self.seen)
+        fresh[inside] = self.seen[at[inside]] != key[inside]
+        if fresh.any():
+            hot, values = self._compare(found.letters, found.start[first[fresh]], found.size[first[fresh]])
+            slot = np.full(int(fresh.sum()), -1, np.int32)
+            slot[hot] = len(self.known) + np.arange(len(hot))
+            self.known = np.vstack([self.known, values])
+            self.seen, self.slot = np.insert(self.seen, at[fresh], key[fresh]), np.insert(self.slot, at[fresh], slot)
+        which = self.slot[np.searchsorted(self.seen, key)][inverse.ravel()]
+        index = np.flatnonzero(which >= 0)
+        return index, self.known[which[index]]
+
+    def _compare(self, letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are near a landmark, and their kernel values."""
+        w, c, v = triples(letters, start, size)
+        bound = np.bincount(w, v * self.most[c], minlength=len(start))
         # Equal triples of a word only make it longer, so this never drops a word that reaches the cut.
-        length = np.sqrt(np.bincount(w, v**2, minlength=len(first)))
-        hot = np.flatnonzero(bound > 0.999 * CUT * length)
-        hot = hot[length[hot] > 0]
+        length = np.sqrt(np.bincount(w, v**2, minlength=len(start)))
+        hot = np.flatnonzero((bound > 0.999 * CUT * length) & (length > 0))
         values = np.zeros((len(hot), len(self.words)), np.float32)
         if len(hot):
-            w, c, v = triples(found.letters, start[hot], size[hot])
+            w, c, v = triples(letters, start[hot], size[hot])
             w, c, v = _unit(w, c, v, len(hot))
             known = self.row[c] >= 0
             w, c, v = w[known], c[known], v[known]
             edge = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else w
-            if len(edge):
-                values[w[edge]] = np.add.reduceat(self.table[self.row[c]] * v[:, None].astype(np.float32), edge)
+            # A few thousand triples at a time, cut between words.
+            cuts = edge[np.unique(np.searchsorted(edge, np.arange(0, len(w), 8192), "right") - 1)] if len(w) else edge
+            for a, b in zip(cuts, [*cuts[1:], len(w)], strict=True):
+                own = edge[(edge >= a) & (edge < b)]
+                values[w[own]] = np.add.reduceat(self.table[self.row[c[a:b]]] * v[a:b, None].astype(np.float32), own - a)
         values = np.where(values < CUT, 0, values) ** POWER
-        at = np.full(len(first), -1)
-        at[hot[values.any(axis=1)]] = np.flatnonzero(values.any(axis=1))
-        which = at[inverse.ravel()]
-        index = np.flatnonzero(which >= 0)
-        return index, values[which[index]]
+        near = values.any(axis=1)
+        return hot[near], values[near]
 
     def sentences(self, t: X.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Document and largest kernel values of each sentence with a word near a landmark."""
