@@ -89,7 +89,5 @@ def canonical_terms(c: Column) -> Column:
 def stem(c: Column) -> Column:
     """SC16: folded letters, digits and hyphens, without the first matching ending that leaves four."""
     w = F.regexp_replace(F.translate(F.lower(c), *FOLD), r"(?U)[^\p{L}\p{N}-]", "")
-    out = w
-    for end in reversed(ENDINGS):
-        out = F.when(w.endswith(end) & (F.length(w) - len(end) >= 4), F.substring(w, F.lit(1), F.length(w) - len(end))).otherwise(out)
-    return out
+    # The longest ending that leaves four letters; endings of one length exclude each other.
+    return F.regexp_replace(w, rf"^(.{{4,}}?)(?:{'|'.join(ENDINGS)})$", "$1")

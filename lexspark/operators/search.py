@@ -103,11 +103,17 @@ def has_substring(phrase: str, literal: bool = False, columns: tuple[str, ...] =
 
 def rank(column: Column, phrase: str) -> Column:
     """FT3: tf / (tf + 1), summed over the distinct tokens of the phrase, rounded to six places."""
-    found = tokens(column)
+    # Only tokens of the phrase are kept before they are counted one by one.
+    wanted = query_tokens(phrase)
+    found = F.filter(tokens(column), lambda x: x.isin(wanted))
+
+    def score(t: str) -> Column:
+        tf = F.size(F.filter(found, lambda x: x == t))
+        return tf / (tf + 1.0)
+
     total = F.lit(0.0)
-    for t in query_tokens(phrase):
-        tf = F.size(F.filter(found, lambda x, t=t: x == t))
-        total = total + tf / (tf + 1.0)
+    for t in wanted:
+        total = total + score(t)
     return F.round(total, 6)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import index_letter
 from ..functions.subjects import canonical_terms, stem
 from ..schemas import KEY
+from ..session import cut
 
 # Umbrella terms, terms that stay alone, and parents given by hand.
 UMBRELLAS = ["Czynności", "Wysokość", "Świadczenia", "Skarga", "Nieważność", "Koszty", "Wynagrodzenie", "Uchwały", "Odrzucenie", "Upadłość"]
@@ -87,8 +88,9 @@ def tree(rows: DataFrame) -> DataFrame:
     total is the number of distinct documents of the root and its children: (root, document) pairs are
     made distinct first, so a root with very many documents is spread over tasks.
     """
-    named = with_umbrellas(counts(rows))
-    root = roots(parents(named))
+    # The vocabulary is small beside the documents; it is written so that its self-joins read a table.
+    named = cut(with_umbrellas(cut(counts(rows))))
+    root = cut(roots(cut(parents(named))))
     sized = named.join(root, "name")
     kids = sized.where("name <> root").groupBy("root").agg(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), "name", "count"))).alias("kids"))
     kids = kids.select("root", F.transform("kids", lambda k: F.struct(k["name"].alias("name"), k["count"].alias("count"))).alias("children"))
@@ -99,7 +101,7 @@ def tree(rows: DataFrame) -> DataFrame:
 
 
 def filtered(index: DataFrame, letter: str = "", text: str = "") -> DataFrame:
-    """FI20 of the survey's FI19: by letter, and by text over the term and its children."""
+    """FI19: by letter, and by text over the term and its children."""
     out = index.where(F.col("letter") == letter) if letter else index
     words = F.lower(F.concat_ws(" ", F.col("name"), F.transform("children", lambda c: c["name"])))
     return out.where(words.contains(text.lower())) if text else out
