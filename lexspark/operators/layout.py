@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SENTINEL = "@@TABLE@@"
+from ..schemas import SENTINEL
+
 TABLE = ("doc", "table_id")
 
 

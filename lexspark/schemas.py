@@ -26,3 +26,5 @@ HITS = (
 RAW_PAGES = "source string, kind string, doc_id string, url string, fetched_at timestamp, html string"
 KEY = ("source", "doc_id")
 ACT_KEY = ("publisher", "year", "pos")
+#: What a rendered table's block begins with.
+SENTINEL = "@@TABLE@@"
