@@ -31,8 +31,14 @@ def _day(c: str):
     return F.col(c).cast("string").alias(c)
 
 
-NOW = F.lit("2020-03-01 00:00:00").cast("timestamp")
-_TXT = F.col("full_text")
+def _now():
+    return F.lit("2020-03-01 00:00:00").cast("timestamp")
+
+
+def _text():
+    return F.col("full_text")
+
+
 _T = TOKENS.format(c="full_text")
 _FOUND = f"""{J}, t AS (SELECT *, {_T} AS toks FROM j),
 m AS (SELECT *, round(list_count(list_filter(toks, lambda x: x = 'the')) / (list_count(list_filter(toks, lambda x: x = 'the')) + 1.0)
@@ -43,22 +49,22 @@ m AS (SELECT *, round(list_count(list_filter(toks, lambda x: x = 'the')) / (list
 # -- search ------------------------------------------------------------------------------------
 @query("search_fulltext", f"{_FOUND} SELECT source, doc_id, judgment_date::VARCHAR AS judgment_date, rank::DOUBLE AS rank FROM m ORDER BY rank DESC, m.judgment_date DESC, source, doc_id LIMIT 20")
 def search_fulltext(spark, d):
-    return search.search(views.judgments(spark, d), Query(phrase="The tion!"), _TXT).select("source", "doc_id", _day("judgment_date"), "rank")
+    return search.search(views.judgments(spark, d), Query(phrase="The tion!"), _text()).select("source", "doc_id", _day("judgment_date"), "rank")
 
 
 @query("search_index", f"{_FOUND} SELECT source, doc_id, rank::DOUBLE AS rank FROM m")
 def search_index(spark, d):
-    return search.lookup(search.postings(views.judgments(spark, d), _TXT), "The tion!")
+    return search.lookup(search.postings(views.judgments(spark, d), _text()), "The tion!")
 
 
 @query("inverted_index", f"{J}, t AS (SELECT source, doc_id, unnest({_T}) AS token FROM j) SELECT token, source, doc_id, count(*) AS tf FROM t GROUP BY ALL")
 def inverted_index(spark, d):
-    return search.postings(views.judgments(spark, d), _TXT)
+    return search.postings(views.judgments(spark, d), _text())
 
 
 @query("search_substring", f"{J} SELECT source, doc_id, publication_date::VARCHAR AS publication_date FROM j WHERE full_text ILIKE '%tion the%' OR signature ILIKE '%tion the%' OR trim(full_text) ILIKE '%tion the%' ORDER BY j.publication_date DESC, source, doc_id LIMIT 50")
 def search_substring(spark, d):
-    return search.search(views.judgments(spark, d), Query(phrase="tion  the", sort="pub_desc"), _TXT, size=50, substring=True).select("source", "doc_id", _day("publication_date"))
+    return search.search(views.judgments(spark, d), Query(phrase="tion  the", sort="pub_desc"), _text(), size=50, substring=True).select("source", "doc_id", _day("publication_date"))
 
 
 _ADV = "court ILIKE 'sąd okr%' AND judge ILIKE '%nowak-s%' AND judgment_date BETWEEN '2015-01-10' AND '2015-12-31'"
@@ -67,12 +73,12 @@ _ADV = "court ILIKE 'sąd okr%' AND judge ILIKE '%nowak-s%' AND judgment_date BE
 @query("search_advanced", f"{J} SELECT source, doc_id, court, judgment_date::VARCHAR AS judgment_date FROM j WHERE source = 'nsa' AND {_ADV} ORDER BY j.judgment_date, source, doc_id LIMIT 20")
 def search_advanced(spark, d):
     q = Query(source="nsa", court="sąd okr", judge="NOWAK-S", date_from="2015-01-10", date_to="2015-12-31", sort="date_asc")
-    return search.search(views.judgments(spark, d), q, _TXT).select("source", "doc_id", "court", _day("judgment_date"))
+    return search.search(views.judgments(spark, d), q, _text()).select("source", "doc_id", "court", _day("judgment_date"))
 
 
 @query("count_by_source", f"{_FOUND} SELECT source, count(*) AS count FROM m GROUP BY source")
 def count_by_source(spark, d):
-    return search.count_by_source(views.judgments(spark, d), Query(phrase="tion the", source="ms"), _TXT)
+    return search.count_by_source(views.judgments(spark, d), Query(phrase="tion the", source="ms"), _text())
 
 
 @query("any_term", f"{J} SELECT source, count(*) AS n FROM j WHERE legal_basis ILIKE '%k.c.%' OR legal_basis ILIKE '%kk%' GROUP BY source")
@@ -142,13 +148,13 @@ def _split(spark, d):
 @query("upsert_light", f"{J} SELECT source, doc_id, n % 3 = 0 AS is_new, CASE WHEN n % 3 = 0 THEN TIMESTAMP '2020-03-01 00:00:00' ELSE first_seen_at END AS first_seen_at, CASE WHEN n % 2 = 0 THEN TIMESTAMP '2020-03-01 00:00:00' ELSE first_seen_at END AS last_seen_at FROM j WHERE n % 3 <> 0 OR n % 2 = 0")
 def upsert_light(spark, d):
     stored, new = _split(spark, d)
-    return tables.upsert_light(stored, new, NOW, ["judgment_date"]).select("source", "doc_id", "is_new", "first_seen_at", "last_seen_at")
+    return tables.upsert_light(stored, new, _now(), ["judgment_date"]).select("source", "doc_id", "is_new", "first_seen_at", "last_seen_at")
 
 
 @query("upsert_full", f"{J} SELECT source, doc_id, n % 2 = 0 AS replaced, CASE WHEN n % 3 = 0 THEN TIMESTAMP '2020-03-01 00:00:00' ELSE first_seen_at END AS first_seen_at, CASE WHEN n % 2 = 0 THEN TIMESTAMP '2020-03-01 00:00:00' ELSE first_seen_at END AS last_seen_at FROM j WHERE n % 3 <> 0 OR n % 2 = 0")
 def upsert_full(spark, d):
     stored, new = _split(spark, d)
-    out = tables.upsert_full(stored, tables.prepared_judgments(new).drop("panel"), NOW, ["judgment_date"])
+    out = tables.upsert_full(stored, tables.prepared_judgments(new).drop("panel"), _now(), ["judgment_date"])
     even = F.col("doc_id").cast("long") % 2 == 0
     return out.select("source", "doc_id", (even & F.col("sentencja").isNull()).alias("replaced"), "first_seen_at", "last_seen_at")
 
