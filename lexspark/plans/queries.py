@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fields, subjects, text
+from ..functions import clean, fields, subjects, text
 from ..operators import acts, ingest, layout, merge, reports, search, subject_index, tables
 from ..operators.search import Query
+from ..session import shared_folder
+from ..sources import io, pages
+from ..streaming import jobs
 from . import views
 from .views import A, J, S, TOKENS, read
 
@@ -460,6 +464,77 @@ def logical_rows(spark, d):
     return layout.rendered(layout.logical_rows(_cells(spark, d)))
 
 
+@query("table_cells_merged", f"{_CELLS}, a AS (SELECT r.doc, r.row_idx, CASE WHEN count(a.row_idx) >= 2 THEN arg_min(a.row_idx, abs(a.center - r.center) * 100 + a.row_idx * 0.01) ELSE any_value(r.row_idx) END AS g FROM c r LEFT JOIN c a ON a.doc = r.doc AND a.row_idx % 3 = 1 GROUP BY r.doc, r.row_idx) SELECT doc, g AS group_idx, string_agg('v' || row_idx, ' ' ORDER BY row_idx) AS text FROM a GROUP BY doc, g")
+def table_cells_merged(spark, d):
+    # Rows whose first cell is no number never are headers here: it is empty.
+    return layout.logical_rows(_cells(spark, d)).select("doc", "group_idx", F.get("cells", 1).alias("text"))
+
+
+@query("html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages")
+def html_title(spark, d):
+    p = read(spark, d, "pages")
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+
+
+@query("blocked_pages", "SELECT page_id FROM pages WHERE contains(left(html, 8000), 'captchaform') OR contains(left(html, 8000), 'Access Denied') OR contains(left(html, 8000), 'Request Rejected') OR contains(left(html, 8000), '/captcharenderer/')")
+def blocked_pages(spark, d):
+    p = read(spark, d, "pages")
+    return p.where(pages.blocked(F.col("html"))).select("page_id")
+
+
+@query("result_counts", "SELECT page_id, 0::BIGINT AS n FROM pages")
+def result_counts(spark, d):
+    return read(spark, d, "pages").select("page_id", pages.result_count(F.lit("nsa"), F.col("html")).alias("n"))
+
+
+@query("page_text")
+def page_text(spark, d):
+    return read(spark, d, "pages").select("page_id", pages.act_html_text(F.col("html")).alias("text"))
+
+
+@query("print_text")
+def print_text(spark, d):
+    t = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return read(spark, d, "documents").select("doc_id", clean.clean_print_text(t, F.lit("Ustawa")).alias("text"))
+
+
+@query("web_text")
+def web_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(clean.clean_web_text(F.col("text"))).alias("h"))
+
+
+@query("panel")
+def panel(spark, d):
+    t = F.concat(F.lit("Przewodniczący: Jan Kowalski\nCzłonkowie: Anna Nowak\n"), F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.size(fields.extract_panel(t)).alias("n"))
+
+
+@query("clean_person", "SELECT s_suppkey, 'Jan Nowak' AS name FROM supplier")
+def clean_person(spark, d):
+    return read(spark, d, "supplier").select("s_suppkey", fields.clean_person(F.lit("SSO Jan Nowak (spr.)")).alias("name"))
+
+
+@query("export_text", f"{J} SELECT source, doc_id, replace(replace(signature, '/', '-'), ' ', '_') || '.txt' AS name FROM j")
+def export_text(spark, d):
+    return io.to_text(views.judgments(spark, d)).select("source", "doc_id", "name")
+
+
+@query("listing_rows", f"{J} SELECT source, doc_id, signature, '/orzeczenie/' || source || '/' || doc_id AS url FROM j")
+def listing_rows(spark, d):
+    return io.to_hit(views.judgments(spark, d)).select("source", "doc_id", "signature", "url")
+
+
+@query("stream_upsert", "SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, TIMESTAMP '2020-03-01 00:00:00' AS first_seen_at FROM orders GROUP BY o_custkey")
+def stream_upsert(spark, d):
+    """The orders table as a change feed: the last change of each customer wins."""
+    schema = read(spark, d, "orders").select("o_custkey", "o_orderkey").schema
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    state = jobs.Versions(spark, f"{folder}/state", "o_custkey long, o_orderkey long, first_seen_at timestamp, last_seen_at timestamp")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/orders.parque[t]")
+    jobs.upsert_stream(stream, state, f"{folder}/log", ("o_custkey",), "o_orderkey", _now).awaitTermination()
+    return state.last().select("o_custkey", "o_orderkey", "first_seen_at")
+
+
 def queries() -> dict:
     return dict(_Q)
 
