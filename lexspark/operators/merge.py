@@ -138,6 +138,19 @@ def siblings(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
     return found.where("sibling is not null").groupBy("source", "doc_id").agg(F.min("sibling").alias("sibling"))
 
 
+def completed(rows: DataFrame) -> DataFrame:
+    """JO11: a record without a text gives way to its sibling's, under the sibling's id; ``requested`` is the id asked for.
+
+    Records that have a text, or no sibling with one, stay as they are.
+    """
+    has = filled(F.col("full_text")).isNotNull()
+    bare, whole = rows.where(~has), rows.where(has)
+    found = siblings(bare, whole).select("source", F.col("doc_id").alias("requested"), "sibling")
+    other = found.join(whole.withColumnRenamed("doc_id", "sibling"), ["source", "sibling"]).withColumnRenamed("sibling", "doc_id")
+    rest = rows.join(found.select("source", F.col("requested").alias("doc_id")), ["source", "doc_id"], "left_anti")
+    return rest.withColumn("requested", F.col("doc_id")).unionByName(other)
+
+
 def classified(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """MG7: ``action`` for each row of a batch: skip (no text), merge (with ``sibling``), hold (lone reasoning), store.
 

@@ -168,6 +168,16 @@ def search(rows: DataFrame, q: Query, text: Column, number: int = 1, size: int =
     return rows.join(kept, list(KEY)).orderBy(*ordering(q, "rank" in found.columns))  # at most a page of rows
 
 
+def get_judgment(rows: DataFrame, source: str, doc_id: str) -> DataFrame:
+    """FI1: a judgment by its key, if it has a text."""
+    return rows.where((F.col("source") == source) & (F.col("doc_id") == doc_id) & (F.coalesce("full_text", F.lit("")) != ""))
+
+
+def get_act(rows: DataFrame, publisher: str, year: int, pos: int) -> DataFrame:
+    """FI2: an act by its key."""
+    return rows.where((F.col("publisher") == publisher) & (F.col("year") == year) & (F.col("pos") == pos))
+
+
 def count_by_source(rows: DataFrame, q: Query, text: Column, substring: bool = False) -> DataFrame:
     """FT5, FT6: matches per source, whatever source the query names."""
     return matches(rows, q, text, source=False, substring=substring).groupBy("source").count()

@@ -100,6 +100,17 @@ def tree(rows: DataFrame) -> DataFrame:
     return out.select("name", "count", F.coalesce("total", F.lit(0)).alias("total"), index_letter(F.col("name")).alias("letter"), F.coalesce("children", empty).alias("children"))
 
 
+def renormalisation(rows: DataFrame) -> DataFrame:
+    """AG11: ``stat`` and ``n``: rows with terms, rows whose terms change, distinct terms before and after."""
+    new = canonical_terms(F.col("thematic"))
+    some = F.size(F.coalesce("thematic", F.array().cast("array<string>"))) > 0
+    changed = some & ~new.eqNullSafe(F.col("thematic"))
+    out = rows.agg(F.count_if(some).alias("with_terms"), F.count_if(changed).alias("changed")).unpivot([], ["with_terms", "changed"], "stat", "n")
+    before = rows.select(F.explode("thematic").alias("t")).agg(F.count_distinct("t").alias("n")).select(F.lit("terms_before").alias("stat"), "n")
+    after = terms(rows).agg(F.count_distinct("name").alias("n")).select(F.lit("terms_after").alias("stat"), "n")
+    return out.unionByName(before).unionByName(after)
+
+
 def filtered(index: DataFrame, letter: str = "", text: str = "") -> DataFrame:
     """FI19: by letter, and by text over the term and its children."""
     out = index.where(F.col("letter") == letter) if letter else index

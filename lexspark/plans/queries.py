@@ -117,6 +117,34 @@ def source_capabilities(spark, d):
     return hits.groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query("point_lookup", f"{J} SELECT source, doc_id, signature FROM j WHERE source = 'ms' AND doc_id = '6' AND full_text <> ''")
+def point_lookup(spark, d):
+    return search.get_judgment(views.judgments(spark, d), "ms", "6").select("source", "doc_id", "signature")
+
+
+@query("act_lookup", f"{A} SELECT publisher, year, pos, title FROM a WHERE publisher = 'MP' AND pos = 77 AND year = (SELECT year(o_orderdate) FROM orders WHERE o_orderkey = 77)")
+def act_lookup(spark, d):
+    years = read(spark, d, "orders").where("o_orderkey = 77").select(F.year("o_orderdate").alias("year"))
+    return search.get_act(views.acts(spark, d), "MP", years.first().year, 77).select("publisher", "year", "pos", "title")
+
+
+@query("publishers", f"{A} SELECT DISTINCT publisher, CASE publisher WHEN 'DU' THEN 'Dziennik Ustaw' ELSE 'Monitor Polski' END AS name FROM a")
+def publishers(spark, d):
+    return views.acts(spark, d).select("publisher", fields.publisher_name(F.col("publisher")).alias("name")).distinct()
+
+
+@query("completed_records", f"{J} SELECT CASE WHEN n % 2 = 0 AND p THEN (n + 1)::VARCHAR ELSE doc_id END AS doc_id, doc_id AS requested FROM (SELECT *, EXISTS (SELECT 1 FROM j b WHERE b.n = j.n + 1 AND b.signature = j.signature AND (b.judgment_date = j.judgment_date OR b.publication_date = j.publication_date)) AS p FROM j)")
+def completed_records(spark, d):
+    j = views.judgments(spark, d)
+    odd = F.col("doc_id").cast("long") % 2 == 1
+    return merge.completed(j.withColumn("full_text", F.when(odd, F.col("full_text")))).select("doc_id", "requested")
+
+
+@query("renormalisation", f"{S}, c AS (SELECT count(DISTINCT (source, doc_id)) AS d, count(DISTINCT name) AS t FROM s) SELECT 'with_terms' AS stat, d AS n FROM c UNION ALL SELECT 'changed', d FROM c UNION ALL SELECT 'terms_after', t FROM c")
+def renormalisation(spark, d):
+    return subject_index.renormalisation(views.subjects(spark, d)).where("stat <> 'terms_before'")
+
+
 # -- tables ------------------------------------------------------------------------------------
 def _ids(spark, d, table):
     return read(spark, d, table).select(F.lit("x").alias("source"), F.col("doc_id").cast("string").alias("doc_id"))

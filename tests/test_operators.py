@@ -98,6 +98,12 @@ def test_named_merge_siblings_and_held_rows(spark):
     assert got == {"u": ("merge", "w"), "x": ("hold", None), "e": ("skip", None), "n": ("store", None)}
 
 
+def test_text_of_a_sibling(spark):
+    rows = frame(spark, judgment("a", full_text=None), judgment("b"), judgment("c", signature="z", full_text=None))
+    got = {r.requested: (r.doc_id, r.full_text) for r in merge.completed(rows).collect()}
+    assert got == {"a": ("b", "treść b"), "b": ("b", "treść b"), "c": ("c", None)}
+
+
 def test_search(spark):
     rows = frame(spark, judgment("a", full_text="Kara umowna i kara", legal_basis="art. 385 k.c."), judgment("b", full_text="kara łagodna", judgment_date=None), judgment("c", full_text="nic", judges=[("Ewa Mała", "sędzia", "sprawozdawca")], court="Sąd Okręgowy"))
     text = F.col("full_text")
