@@ -82,7 +82,7 @@ def criteria(q: Query, source: bool = True) -> Column:
         if bound:
             b = as_iso_date(F.lit(bound))
             out &= b.isNull() | test(b)
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
 def has_tokens(column: Column, phrase: str) -> Column:
