@@ -25,7 +25,8 @@ def stored(spark, tmp_path_factory):
     return spark.read.schema(JUDGMENTS).parquet(path)
 
 
-def test_filters_and_columns_reach_the_scan(stored):
+def test_filters_and_columns_reach_the_scan(spark, stored):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     q = search.Query(source="ms", date_from="2020-02-01", date_to="2020-03-01")
     text = plan(search.matches(stored, q, F.col("full_text")).select("source", "doc_id"))
     assert "PartitionFilters: [isnotnull(source" in text and "(source" in text.partition("PartitionFilters")[2][:80]
