@@ -9,7 +9,7 @@ from the leaf's number, one for each further level, so depth follows the data an
 ids, combined before the shuffle; no query needs more than k + 1 of them.
 
 *Search.* A query descends all trees through one priority queue: whichever branch, of any tree, lies
-nearest across a plane is followed next, until the visited leaves hold ``VISIT`` of the forest's entries.
+nearest across a plane is followed next, until the visited leaves hold ``VISIT`` of the forest's entries and at least ``LEAST`` of them.
 Leaves are cut into blocks of at most ``BLOCK`` vectors and of queries, joined by leaf; each pair of
 blocks is one matrix product that keeps k + 1 entries for each query. The nearest of all blocks are scored
 once more, by sums in one order, so that a pair has the same score wherever it was met.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-TREES, SAMPLE, FIT_LEAF, LEAF, BLOCK, VISIT, SEED = 8, 16_384, 32, 128, 2048, 0.14, 5
+TREES, SAMPLE, FIT_LEAF, LEAF, BLOCK, VISIT, LEAST, SEED = 8, 16_384, 32, 128, 2048, 0.14, 8192, 5
 
 
 class Forest:
@@ -171,7 +171,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             for i in range(len(u)):
                 heap = [(-1.0, t, root, 0, 0) for t, root in enumerate(forest.roots)]
                 held = 0.0
-                while heap and held < visit * total:
+                while heap and held < max(visit * total, LEAST):
                     far, t, node, level, part = heapq.heappop(heap)
                     while node >= 0:
                         z = side[i, node] - forest.cuts[node]
