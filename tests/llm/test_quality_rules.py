@@ -42,3 +42,22 @@ def test_edge_cases(spark):
     assert got[205][0].word_chars == sum(map(len, rows[-3][1].split()))
     assert got[206][0].n_repeat_words == 60000
     assert Q.assess(df.limit(0)).collect() == []
+
+
+def test_several_shared_lines(spark):
+    shared = [" ".join(f"notice{k}x{i}" for i in range(23)) for k in range(4)]
+    own = lambda k: [f"own{k} a{k} b{k}", f"c{k} d{k} e{k}", f"f{k} g{k} h{k}"]
+    rows = [(i, "\n".join([*shared, *own(i)]), "h") for i in range(40)]  # 92 of 101 words in four shared lines
+    rows += [(100 + i, "\n".join([shared[0], *(f"{k} only{i} {' '.join(f'w{i}x{k}x{j}' for j in range(30))}" for k in range(3))]), "h") for i in range(40)]
+    rows += [(200 + i, "\n".join(own(f"copy{k}")[0] + f" {k}" * 20 for k in range(3)), "h") for i in range(40)]  # copies: one document
+    got = {r.doc_id: r for r in Q.assess(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].n_removed_words == 92 and not got[i].kept for i in range(40))
+    assert all(got[100 + i].n_removed_words == 23 and got[100 + i].kept for i in range(40))
+    assert all(got[200 + i].n_removed_words == 0 for i in range(40))
+
+
+def test_limit_counts_distinct_documents(spark):
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(i, f"{body(i)}\nshared line here", "h") for i in range(12)] + [(100 + i, body("copy"), "h") for i in range(400)]
+    got = {r.doc_id: r.n_removed_words for r in Q.assess(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == 3 for i in range(12)) and got[100] == 0
