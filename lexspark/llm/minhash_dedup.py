@@ -12,7 +12,8 @@ similarity of two documents is the probability Jaccard index of these weights,
 2. *Banding.* Documents that agree in all registers of a band are candidates. Bands are met through one
    centre for each bucket, never as all pairs. First the centre is the smallest key. In buckets that
    then hold several classes, members meet a second centre, drawn at random, if it is of another class;
-   they do so in the whole bucket and in the parts that further registers split it into.
+   they do so in the whole bucket and in the parts that further registers split it into. Texts of
+   buckets that hold several classes even then are joined exactly, on their rarest shingles: `_left`.
 3. *Verification.* J is computed from both texts; links have J >= ``threshold``.
 4. *Classes* are the connected components of the links.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
@@ -33,6 +34,8 @@ from .shared import materialise
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 5
 #: Buckets of several classes are split again by three registers of each of so many following bands.
 REFINED = 2
+#: A shingle's texts meet in parts of about so many.
+HOT = 64
 
 
 def prob_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -136,6 +139,56 @@ def _verify(batches):
             )
 
 
+def _shares(batches):
+    for batch in batches:
+        key, label = (batch.column(c).to_numpy() for c in ("key", "label"))
+        for t in X.slices(batch.column("text")):
+            doc, item, weight, _ = X.shingles(t, WIDTH)
+            share = weight / np.bincount(doc, weight, minlength=t.n)[doc]
+            doc = doc + t.first
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[doc]), pa.array(label[doc]), pa.array(item.view(np.int64)), pa.array(share)],
+                names=["key", "label", "item", "share"],
+            )
+
+
+def _left(members: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``key < centre``: every pair of ``threshold`` or more between classes, among the texts of mixed buckets.
+
+    Let s and u be the shares of the two texts' weights that lie on common shingles. J is at most
+    1 / (1 / s + 1 / u - 1), so 1 / s + 1 / u <= 1 + 1 / threshold: both are ``threshold`` at least, and
+    one is 2 threshold / (1 + threshold). Shingles are ordered alike in all texts, those of one class
+    first, then the rare ones. From their first common shingle on, both texts have at least s and u of
+    their weight left; so the pair meets there, and texts need to be joined on early shingles only.
+    """
+    label = labels.select(F.col("node").alias("_n"), "label")
+    named = members.select("bucket", "key").join(label, F.col("key") == F.col("_n"), "left")
+    named = named.select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    named = named.join(mixed.select(F.col("bucket").alias("_b")), F.col("bucket") == F.col("_b"))
+    named = materialise(named.select("key", "label").distinct(), "open")
+    full = named.join(texts, "key").select("key", "label", "text")
+    items = full.mapInArrow(_shares, "key long, label long, item long, share double")
+    # Shingles of one class lead to no other; they only use up weight.
+    common = items.groupBy("item").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rows = items.join(common.select(F.col("item").alias("_i"), "n"), F.col("item") == F.col("_i"))
+    after = Window.partitionBy("key").orderBy(F.desc("n"), F.desc("item")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("rest", F.sum("share").over(after)).where(F.col("rest") >= threshold - 1e-9)
+    early = materialise(rows.select("key", "label", "item", "rest"), "early")
+    index = early.where(F.col("rest") >= 2 * threshold / (1 + threshold) - 1e-9)
+    parts = index.groupBy("item").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).withColumnRenamed("item", "_i")
+    one = index.join(parts, F.col("item") == F.col("_i")).select(
+        F.col("item").alias("_item"), F.pmod(F.xxhash64("key", "item"), "parts").cast("int").alias("_part"),
+        F.col("key").alias("_key"), F.col("label").alias("_label"), F.col("rest").alias("_rest"),
+    )
+    other = early.join(parts, F.col("item") == F.col("_i")).select(
+        "item", "key", "label", "rest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    met = other.join(one, (F.col("item") == F.col("_item")) & (F.col("part") == F.col("_part")))
+    met = met.where((F.col("label") != F.col("_label")) & (1 / F.col("rest") + 1 / F.col("_rest") <= 1 + 1 / threshold + 1e-9))
+    return met.select(F.least("key", "_key").alias("key"), F.greatest("key", "_key").alias("centre")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, with_row: bool = False) -> DataFrame:
     """``doc_id``, ``class_id``, ``class_size``, ``representative`` for every row of ``docs``.
 
@@ -191,8 +244,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     pairs = materialise(pairs.join(seen, (F.col("key") == F.col("_a")) & (F.col("centre") == F.col("_b")), "left_anti"), "pairs")
     if not pairs.isEmpty():
-        links = tried.unionByName(verified(pairs)).where(F.col("similarity") >= threshold).select("a", "b")
-        labels = components(links)
+        tried = tried.unionByName(verified(pairs))
+        labels = components(tried.where(F.col("similarity") >= threshold).select("a", "b"))
+
+    # What no centre has settled: exactly, whatever the size of the group.
+    pairs = _left(members, texts, labels, threshold)
+    seen = tried.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    pairs = materialise(pairs.join(seen, (F.col("key") == F.col("_a")) & (F.col("centre") == F.col("_b")), "left_anti"), "left")
+    if not pairs.isEmpty():
+        tried = tried.unionByName(verified(pairs))
+        labels = components(tried.where(F.col("similarity") >= threshold).select("a", "b"))
     out = _classes(sketches, labels)
     return out if with_row else out.drop("row")
 

@@ -92,3 +92,12 @@ def test_against_all_pairs(spark):
     want = classes(texts)
     got = {r.doc_id: r.class_id for r in M.near_duplicates(docs).collect()}
     assert got == want
+
+
+def test_pairs_within_a_template_group(spark):
+    template = " ".join(f"t{i}" for i in range(204))
+    text = lambda p, k: " ".join([template, *(f"p{p}x{i}" for i in range(4)), *(f"o{p}x{k}x{i}" for i in range(22))])
+    w = {(p, k): weights(text(p, k)) for p in (0, 1) for k in (0, 1)}
+    assert brute(w[0, 0], w[0, 1]) >= 0.8 > brute(w[0, 0], w[1, 0])
+    got = found(spark, [(2 * p + k, text(p, k), "x", 1) for p in range(600) for k in (0, 1)])
+    assert {i: v[0] for i, v in got.items()} == {i: i - i % 2 for i in range(1200)}
