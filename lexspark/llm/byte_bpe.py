@@ -5,9 +5,9 @@ file every split of a token into two tokens is a merge, ordered by the rank of w
 piece that is itself a token stays whole; this is the rank file's own rule.
 
 Encoding never crosses a place where white space follows a word, because every piece of the split
-pattern ends there. So texts are cut at these places, equal cuts are encoded once for each worker, and
-whole texts are put together from the results. Texts with other white space than the ASCII kind, where
-this does not hold, are encoded in one go.
+pattern ends there. So texts are cut at these places (where ASCII white space follows anything that is no
+white space of any kind), equal cuts are encoded once for each worker, and whole texts are put together
+from the results. Cuts are found by a hash and then compared byte by byte, so no collision changes an id.
 
 Decoding looks bytes up by id. Characters whose bytes lie in several tokens come together again because
 bytes are joined first and decoded afterwards; ``char_offsets`` gives such tokens the span of the whole
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 
-#: Cuts that a worker remembers; beyond these it starts afresh. This bounds memory, not results.
-REMEMBERED = 3_000_000
+#: Cuts, and bytes of cuts, that a worker remembers; beyond these it starts afresh. This bounds memory, not results.
+REMEMBERED, REMEMBERED_BYTES = 3_000_000, 64_000_000
 
 
 def byte_characters() -> list[str]:
@@ -63,6 +63,14 @@ def from_ranks(path: str, pattern: str):
     return out
 
 
+def _put(store: np.ndarray, n: int, new: np.ndarray) -> tuple[np.ndarray, int]:
+    """``new`` after the first n of ``store``, which grows by doubling."""
+    if n + len(new) > len(store):
+        store = np.concatenate([store[:n], np.zeros((max(len(store), len(new)), *store.shape[1:]), store.dtype)])
+    store[n : n + len(new)] = new
+    return store, n + len(new)
+
+
 class Encoder:
     """Encodes slices of documents; remembers the ids of each distinct cut."""
 
@@ -86,23 +94,24 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.entry = np.zeros(0, X.U64), np.zeros(0, np.int64)
         self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.raw, self.n_raw = np.zeros(1 << 18, np.uint8), 0
+        #: For each remembered cut: where its ids start, their number, where its bytes start, their number.
+        self.known, self.n = np.zeros((1 << 14, 4), np.int64), 0
 
-    def _whole(self, data: np.ndarray, texts: X.Texts) -> np.ndarray:
-        """Documents with white space or separators outside ASCII's six, which may not be cut."""
+    @staticmethod
+    def _odd(data: np.ndarray) -> np.ndarray:
+        """The last bytes of white space and separators other than ASCII's six."""
         odd = (data >= 0x1C) & (data <= 0x1F)
         lead = np.flatnonzero(data >= 0xC2)
         lead = lead[np.isin(data[lead], [0xC2, 0xE1, 0xE2, 0xE3])]
         if len(lead):
             pad = np.concatenate([data, np.zeros(2, np.uint8)])
             a, b, c = pad[lead], pad[lead + 1], pad[lead + 2]
-            bad = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
-            bad |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
-            bad |= (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
-            odd[lead[bad]] = True
-        out = np.zeros(texts.n, bool)
-        out[X.doc_of(texts, np.flatnonzero(odd))] = True
-        return out
+            odd[lead[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))] + 1] = True
+            three = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+            three |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+            odd[lead[three] + 2] = True
+        return odd
 
     def cuts(self, texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of each cut, and whether it may stand before another when encoded."""
@@ -112,18 +121,14 @@ class Encoder:
             none = np.zeros(0, np.int64)
             return none, none, none, none.astype(bool)
         space = X._SPACE[data]
-        turn = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        whole = self._whole(data, texts)
-        if whole.any():
-            turn = turn[~whole[X.doc_of(texts, turn)]]
-        start = np.union1d(begin, turn)
+        blank = space | self._odd(data)
+        start = np.union1d(begin, np.flatnonzero(space[1:] & ~blank[:-1]) + 1)
         end = np.append(start[1:], len(data))
-        doc = X.doc_of(texts, start)
-        return start, end, doc, space[start] & ~space[end - 1] & ~whole[doc]
+        return start, end, X.doc_of(texts, start), space[start] & ~blank[end - 1]
 
-    def _remember(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, loose: np.ndarray) -> None:
-        """Encode new cuts. Loose ones follow each other in one text; the others stand alone."""
-        ids: list = [None] * len(keys)
+    def _add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, loose: np.ndarray) -> np.ndarray:
+        """Encode cuts and remember them; returns their entries. Loose cuts follow each other in one text; the others stand alone."""
+        ids: list = [None] * len(start)
         at = np.flatnonzero(loose)
         if len(at):
             joined = b"".join(data[start[i] : end[i]].tobytes() for i in at).decode("utf-8", "replace")
@@ -136,26 +141,18 @@ class Encoder:
             texts = [data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in rest]
             for i, e in zip(rest, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 ids[i] = np.array(e.ids, np.int64)
-        size = np.array([len(x) for x in ids], np.int32)
+        raw = np.concatenate([data[a:b] for a, b in zip(start, end, strict=True)])
         new = np.concatenate(ids).astype(np.uint32)
-        if self.n_flat + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.n_flat], np.zeros(max(len(self.flat), len(new)), np.uint32)])
-        if self.n + len(size) > len(self.start):
-            more = max(len(self.start), len(size))
-            self.start = np.concatenate([self.start[: self.n], np.zeros(more, np.int64)])
-            self.length = np.concatenate([self.length[: self.n], np.zeros(more, np.int32)])
-        self.flat[self.n_flat : self.n_flat + len(new)] = new
-        self.start[self.n : self.n + len(size)] = self.n_flat + np.cumsum(size) - size
-        self.length[self.n : self.n + len(size)] = size
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.entry = np.insert(self.entry, where, self.n + np.arange(len(keys)))
-        self.n += len(size)
-        self.n_flat += len(new)
+        row = np.stack([np.array([len(x) for x in ids]), end - start], axis=1).astype(np.int64)
+        rows = np.stack([self.n_flat + np.cumsum(row[:, 0]) - row[:, 0], row[:, 0], self.n_raw + np.cumsum(row[:, 1]) - row[:, 1], row[:, 1]], axis=1)
+        self.flat, self.n_flat = _put(self.flat, self.n_flat, new)
+        self.raw, self.n_raw = _put(self.raw, self.n_raw, raw)
+        self.known, self.n = _put(self.known, self.n, rows)
+        return self.n - len(rows) + np.arange(len(rows))
 
     def cut_entries(self, texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The remembered entry, the document and the start of each cut."""
-        if self.n > REMEMBERED or self.n_flat > 8 * REMEMBERED:
+        if self.n > REMEMBERED or self.n_flat > 8 * REMEMBERED or self.n_raw > REMEMBERED_BYTES:
             self.forget()
         start, end, doc, loose = self.cuts(texts)
         if not len(start):
@@ -165,17 +162,31 @@ class Encoder:
         fresh = self.keys[at] != key if len(self.keys) else np.ones(len(key), bool)
         if fresh.any():
             f = first[fresh]
-            self._remember(key[fresh], texts.data, start[f], end[f], loose[f])
-        return self.entry[np.searchsorted(self.keys, key)][inverse.ravel()], doc, start
+            added = self._add(texts.data, start[f], end[f], loose[f])
+            where = np.searchsorted(self.keys, key[fresh])
+            self.keys, self.entry = np.insert(self.keys, where, key[fresh]), np.insert(self.entry, where, added)
+        entry = self.entry[np.searchsorted(self.keys, key)][inverse.ravel()]
+        # Equal hashes prove nothing: the cuts, which make up the texts, are compared with what is remembered.
+        size = end - start
+        other = self.known[entry, 3] != size
+        if not other.any():
+            same = self.raw[np.repeat(self.known[entry, 2] - start, size) + np.arange(len(texts.data))] == texts.data
+            if not same.all():
+                other[np.searchsorted(start, np.flatnonzero(~same), "right") - 1] = True
+        else:
+            other |= [not o and not np.array_equal(self.raw[a : a + n], texts.data[b : b + n]) for o, a, b, n in zip(other, self.known[entry, 2], start, size, strict=True)]
+        if other.any():
+            entry[other] = self._add(texts.data, start[other], end[other], loose[other])
+        return entry, doc, start
 
     def encode(self, texts: X.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, one after another, and the number of ids of each document."""
         entry, doc, _ = self.cut_entries(texts)
-        size = self.length[entry].astype(np.int64)
+        size = self.known[entry, 1]
         counts = np.bincount(doc, size, minlength=texts.n).astype(np.int64)
         at = np.cumsum(size) - size
         pos = np.arange(int(size.sum())) - np.repeat(at, size)
-        return self.flat[np.repeat(self.start[entry], size) + pos], counts
+        return self.flat[np.repeat(self.known[entry, 0], size) + pos], counts
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the tokens, joined."""

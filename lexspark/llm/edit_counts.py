@@ -4,7 +4,8 @@ A document is cut where white space follows a word; no token crosses such a plac
 of ``BLOCK`` cuts are the leaves of a segment tree that holds their numbers of tokens. An edit replaces a
 span of characters: only the blocks it touches are cut and encoded again, with one block of context on
 either side so that words which the edit joins or splits come out as in the whole text, and the sums on
-the way to the root are updated. If the blocks change in number, the leaf keeps several of them.
+the way to the root are updated. The blocks after an edit are dealt evenly to the leaves that held them
+before, so leaves keep their size unless an edit brings in much new text.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from . import textops as X
 from .byte_bpe import encoder
 
 BLOCK = 16
-#: White space that may only be cut with care; a text with any is one block (see ``byte_bpe``).
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_TURN = re.compile(r"(?<=[^ \t\n\x0b\x0c\r])(?=[ \t\n\x0b\x0c\r])")
+_WHITE = " \t\n\x0b\x0c\r"
+#: White space and separators of other kinds: a place after one is no cut (see ``byte_bpe``).
+_OTHER = "\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_TURN = re.compile(f"(?<=[^{_WHITE}{_OTHER}])(?=[{_WHITE}])")
 
 
 class EditableCount:
@@ -47,8 +49,6 @@ class EditableCount:
 
     @staticmethod
     def _blocks(text: str) -> list[str]:
-        if _ODD.search(text):
-            return [text]
         turns = [m.start() for m in _TURN.finditer(text)][BLOCK - 1 :: BLOCK]
         return [text[a:b] for a, b in zip([0, *turns], [*turns, len(text)], strict=True)]
 
@@ -94,14 +94,11 @@ class EditableCount:
         low, high = max(low, 0), min(high, len(self.leaves) - 1)
         joined = "".join(self.leaves[low : high + 1])
         joined = joined[: start - before] + new + joined[end - before :]
-        if _ODD.search(new):
-            # The whole text has to be one piece from now on.
-            whole = "".join(self.leaves[:low]) + joined + "".join(self.leaves[high + 1 :])
-            self.__init__(whole, self.counter)
-            return self.total
-        self._set(low, joined, self._count([joined])[0])
-        for leaf in range(low + 1, high + 1):
-            self._set(leaf, "", 0)
+        blocks = self._blocks(joined)
+        edges = [k * len(blocks) // (high - low + 1) for k in range(high - low + 2)]
+        parts = ["".join(blocks[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for leaf, part, tokens in zip(range(low, high + 1), parts, self._count(parts), strict=True):
+            self._set(leaf, part, tokens)
         return self.total
 
     def text(self) -> str:

@@ -30,17 +30,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _STEP = U64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, U64)
+_factors = np.zeros(0, U64)
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of an odd multiplier, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 4096), _STEP, U64)
-        steps[0] = U64(1)
-        _powers = np.cumprod(steps, dtype=U64)
-    return _powers[:n]
+def factors(n: int) -> np.ndarray:
+    """n odd multipliers, one for each place of a run, without a relation between them.
+
+    Powers of one multiplier would make certain runs of two letters collide modulo 2**64.
+    """
+    global _factors
+    if len(_factors) < n:
+        _factors = mix(np.arange(1, max(n, 4096, 2 * len(_factors)) + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+    return _factors[:n]
 
 
 @dataclass
@@ -111,7 +112,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     size = end - start
     at = np.cumsum(size) - size
     pos = np.arange(int(size.sum())) - np.repeat(at, size)
-    value = _BYTE[data[pos + np.repeat(start, size)]] * powers(int(size.max()))[pos]
+    value = _BYTE[data[pos + np.repeat(start, size)]] * factors(int(size.max()))[pos]
     return mix(np.add.reduceat(value, at) + size.astype(U64))
 
 
@@ -133,7 +134,7 @@ def sequence_hash(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
         full = np.flatnonzero(size)
         at = (np.cumsum(size) - size)[full]
         pos = np.arange(len(values)) - np.repeat(at, size[full])
-        out[full] = mix(np.add.reduceat(values * powers(int(size.max()))[pos], at) + size[full].astype(U64))
+        out[full] = mix(np.add.reduceat(values * factors(int(size.max()))[pos], at) + size[full].astype(U64))
     return out
 
 

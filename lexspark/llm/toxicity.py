@@ -96,7 +96,7 @@ def read_words(t: X.Texts) -> Words:
     letters = cp[kept]
     at = np.cumsum(size) - size
     pos = np.arange(int(size.sum())) - np.repeat(at, size)
-    value = X.mix(letters[np.repeat(start, size) + pos].astype(X.U64) + X.U64(1)) * X.powers(LONG + 1)[pos]
+    value = X.mix(letters[np.repeat(start, size) + pos].astype(X.U64) + X.U64(1)) * X.factors(LONG + 1)[pos]
     h = X.mix(np.add.reduceat(value, at) + size.astype(X.U64))
     return Words(letters, start, size, doc[start], sentence[start], h)
 

@@ -75,3 +75,24 @@ def test_query_rows(spark):
     back = B.decode_documents(B.encode_documents(df, RANKS, P.PATTERN), RANKS, P.PATTERN)
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(i), t or "") for i, t, _ in rows)
     assert B.round_trip(df.limit(0), RANKS, P.PATTERN).collect() == []
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_runs_that_powers_would_confuse(n):
+    import tiktoken  # noqa: F401
+
+    pair = [thue_morse(n, "a", "b"), thue_morse(n, "b", "a")]
+    want, e, j = tiktoken_encoding(), B.Encoder(RANKS, P.PATTERN), B.Encoder(JSON)
+    assert encoded(e, pair) == [want.encode_ordinary(t) for t in pair]
+    assert encoded(j, pair) == [x.ids for x in j.tokenizer.encode_batch(pair, add_special_tokens=False)]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(X, "span_hash", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    e, got = B.Encoder(JSON), texts(300, 9)
+    want = [x.ids for x in e.tokenizer.encode_batch(got, add_special_tokens=False)]
+    assert encoded(e, got) == want and encoded(e, got) == want

@@ -38,6 +38,22 @@ def test_an_edit_encodes_little():
     assert 0 < tree.encoded - built < 1000
 
 
+def test_many_edits_and_other_white_space_encode_little():
+    e = B.Encoder(PATH)
+    whole = lambda t: len(e.tokenizer.encode(t, add_special_tokens=False).ids)
+    counter = lambda bs: [n for t in X.slices(pa.array(bs, pa.large_string())) for n in e.encode(t)[1].tolist()]
+    for gap in (" ", "\u00a0 ", "\u2003"):
+        text = f"some{gap}words mail me@example.com here and more " * 1000
+        tree = C.EditableCount(text, counter)
+        built = tree.encoded
+        edits = C.clean_up(text)
+        for start, end, new in reversed(edits):
+            tree.replace(start, end, new)
+        assert len(edits) == 1000 and tree.total == whole(tree.text())
+        # Every edit reads its own leaf and one on either side, and no leaf grows.
+        assert tree.encoded - built < 1000 * 3 * 2 * len(text) / len(tree.leaves)
+
+
 def test_query_rows(spark):
     rows = [(1, "a line\nmail me@example.com now\na line\n\n\nend", "x"), (2, None, "x"), (2, "", "y"), (None, "a\na", None), (5, "word " * 60000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
