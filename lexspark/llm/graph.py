@@ -17,8 +17,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     stars = materialise(_directed(links), "links")
     for _ in range(most_rounds):
-        if _settled(stars):
-            break
         both = stars.select("u", "v").unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -29,6 +27,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             low.select(F.col("u").alias("a"), F.col("m").alias("b"))
         )
         stars = materialise(_directed(small), "links")
+        if _settled(stars):
+            break
     else:
         raise RuntimeError("components did not settle")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(

@@ -10,10 +10,10 @@ similarity of two documents is the probability Jaccard index of these weights,
    one draw for each shingle instead of one for each shingle and register. Two documents agree in a
    register with probability J.
 2. *Banding.* Documents that agree in all registers of a band are candidates. Bands are met through one
-   centre for each bucket, never as all pairs. First the centre is the smallest key. In buckets that
-   then hold several classes, members meet a second centre, drawn at random, if it is of another class;
-   they do so in the whole bucket and in the parts that further registers split it into. Texts of
-   buckets that hold several classes even then are joined exactly, on their rarest shingles: `_left`.
+   centre for each bucket, never as all pairs: the member that meets most others in all its buckets, its
+   *hub*. Texts of buckets that hold several classes after that meet the text of their hub's group that is
+   nearest to the group's common shingles. What is in different classes even then is joined exactly, on
+   early shingles, with a bound for texts of one group: `_early`, `_between`.
 3. *Verification.* J is computed from both texts; links have J >= ``threshold``.
 4. *Classes* are the connected components of the links.
 
@@ -32,10 +32,8 @@ from .graph import components
 from .shared import materialise
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 5
-#: Buckets of several classes are split again by three registers of each of so many following bands.
-REFINED = 2
-#: A shingle's texts meet in parts of about so many.
-HOT = 64
+#: Shingles of centres that a task keeps; beyond these it starts afresh. This bounds memory, not results.
+HELD = 1_000_000
 
 
 def prob_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -89,13 +87,10 @@ def _sketch(batches):
             doc, item, weight, n_words = X.shingles(t, WIDTH)
             won = prob_minhash(doc, item, weight, t.n, BANDS * ROWS).reshape(t.n, BANDS, ROWS)
             has = n_words > 0
-            band, extra = np.zeros((t.n, BANDS), X.U64), np.zeros((t.n, BANDS), X.U64)
+            band = np.zeros((t.n, BANDS), X.U64)
             for r in range(ROWS):
                 band = band * X._STEP + won[:, :, r]
-                if r < 3:
-                    extra = extra * X._STEP + won[:, :, r]
             band = X.mix(band + np.arange(1, BANDS + 1, dtype=X.U64) * X.U64(0xA0761D6478BD642F))
-            extra = (X.mix(extra) & X.U64(0x7FFFFFFF)).astype(np.int32)
             edges = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -103,14 +98,14 @@ def _sketch(batches):
                     key.slice(t.first, t.n),
                     pa.array(n_words, pa.int64()),
                     pa.ListArray.from_arrays(edges, pa.array(band[has].ravel().view(np.int64))),
-                    pa.ListArray.from_arrays(edges, pa.array(extra[has].ravel())),
                 ],
-                names=["id", "key", "n_words", "bands", "extras"],
+                names=["id", "key", "n_words", "bands"],
             )
 
 
 def _verify(batches):
-    held: tuple = (None, None, None)
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the last centres' sorted items and weights
+    n_held = 0
     for batch in batches:
         keys, centres = batch.column("key").to_pylist(), batch.column("centre").to_pylist()
         tb = batch.column("centre_text")
@@ -122,13 +117,16 @@ def _verify(batches):
             scores = np.zeros(t.n)
             for i in range(t.n):
                 c = centres[t.first + i]
-                if held[0] != c:
+                if c not in held:
+                    if n_held > HELD:
+                        held, n_held = {}, 0
                     one = next(X.slices(tb.slice(t.first + i, 1)))
                     _, ci, cw, _ = X.shingles(one, WIDTH)
                     o = np.argsort(ci)
-                    held = (c, ci[o], cw[o])
+                    held[c] = ci[o], cw[o]
+                    n_held += len(ci)
                 s = slice(edge[i], edge[i + 1])
-                scores[i] = similarity(item[s], weight[s], held[1], held[2])
+                scores[i] = similarity(item[s], weight[s], *held[c])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[t.first : t.first + t.n], pa.int64()),
@@ -141,51 +139,92 @@ def _verify(batches):
 
 def _shares(batches):
     for batch in batches:
-        key, label = (batch.column(c).to_numpy() for c in ("key", "label"))
+        kept = [batch.column(c) for c in ("key", "label", "hub")]
         for t in X.slices(batch.column("text")):
             doc, item, weight, _ = X.shingles(t, WIDTH)
-            share = weight / np.bincount(doc, weight, minlength=t.n)[doc]
-            doc = doc + t.first
+            total = np.bincount(doc, weight, minlength=t.n)[doc]
+            at = pa.array(doc + t.first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[doc]), pa.array(label[doc]), pa.array(item.view(np.int64)), pa.array(share)],
-                names=["key", "label", "item", "share"],
+                [*(c.take(at) for c in kept), pa.array(item.view(np.int64)), pa.array(weight / total), pa.array(total)],
+                names=["key", "label", "hub", "item", "share", "total"],
             )
 
 
-def _left(members: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """``key < centre``: every pair of ``threshold`` or more between classes, among the texts of mixed buckets.
+def _hubs(links: DataFrame) -> DataFrame:
+    """``node``, ``label`` for the first ends of ``links``: nodes of one label are connected, not always the other way round.
+
+    Each node takes the second end that has most links, and then the label of that one.
+    """
+    sizes = links.groupBy("b").agg(F.count("*").alias("n")).withColumnRenamed("b", "_b")
+    own = links.join(sizes, F.col("b") == F.col("_b")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    up = own.select(F.col("a").alias("_a"), F.col("b").alias("_up"))
+    return own.join(up, F.col("b") == F.col("_a"), "left").select(F.col("a").alias("node"), F.coalesce("_up", "b").alias("label"))
+
+
+def _early(members: DataFrame, hubs: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """The early shingles of the texts of mixed buckets, with what `_nearest` and `_between` need.
 
     Let s and u be the shares of the two texts' weights that lie on common shingles. J is at most
     1 / (1 / s + 1 / u - 1), so 1 / s + 1 / u <= 1 + 1 / threshold: both are ``threshold`` at least, and
     one is 2 threshold / (1 + threshold). Shingles are ordered alike in all texts, those of one class
     first, then the rare ones. From their first common shingle on, both texts have at least s and u of
-    their weight left; so the pair meets there, and texts need to be joined on early shingles only.
+    their weight left, which is ``rest``; so every pair of ``threshold`` or more between two classes has
+    an early shingle in common. Among texts with one hub, the shingles that most of them have (``inside``)
+    come last: ``rest_hub``. ``out`` is a text's weight outside these, ``n_in`` the number of those it has.
     """
-    label = labels.select(F.col("node").alias("_n"), "label")
-    named = members.select("bucket", "key").join(label, F.col("key") == F.col("_n"), "left")
-    named = named.select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    label = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    named = members.select("bucket", "key").join(label, F.col("key") == F.col("_n"), "left").select("bucket", "key", F.coalesce("_l", "key").alias("label"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     named = named.join(mixed.select(F.col("bucket").alias("_b")), F.col("bucket") == F.col("_b"))
-    named = materialise(named.select("key", "label").distinct(), "open")
-    full = named.join(texts, "key").select("key", "label", "text")
-    items = full.mapInArrow(_shares, "key long, label long, item long, share double")
+    named = materialise(named.select("key", "label").distinct().join(hubs, "key"), "open")
+    items = named.join(texts, "key").select("key", "label", "hub", "text").mapInArrow(_shares, "key long, label long, hub long, item long, share double, total double")
+    items = materialise(items, "items")
     # Shingles of one class lead to no other; they only use up weight.
-    common = items.groupBy("item").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rows = items.join(common.select(F.col("item").alias("_i"), "n"), F.col("item") == F.col("_i"))
-    after = Window.partitionBy("key").orderBy(F.desc("n"), F.desc("item")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("rest", F.sum("share").over(after)).where(F.col("rest") >= threshold - 1e-9)
-    early = materialise(rows.select("key", "label", "item", "rest"), "early")
-    index = early.where(F.col("rest") >= 2 * threshold / (1 + threshold) - 1e-9)
-    parts = index.groupBy("item").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).withColumnRenamed("item", "_i")
-    one = index.join(parts, F.col("item") == F.col("_i")).select(
-        F.col("item").alias("_item"), F.pmod(F.xxhash64("key", "item"), "parts").cast("int").alias("_part"),
-        F.col("key").alias("_key"), F.col("label").alias("_label"), F.col("rest").alias("_rest"),
-    )
-    other = early.join(parts, F.col("item") == F.col("_i")).select(
-        "item", "key", "label", "rest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    )
-    met = other.join(one, (F.col("item") == F.col("_item")) & (F.col("part") == F.col("_part")))
-    met = met.where((F.col("label") != F.col("_label")) & (1 / F.col("rest") + 1 / F.col("_rest") <= 1 + 1 / threshold + 1e-9))
+    marks = items.groupBy("item", "hub").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    common = marks.groupBy(F.col("item").alias("_i")).agg(F.sum("n").alias("rank"), (F.min("low") != F.max("high")).alias("open"))
+    sizes = named.groupBy(F.col("hub").alias("_h")).agg(F.count("*").alias("size"))
+    marks = marks.join(common, F.col("item") == F.col("_i")).join(sizes, F.col("hub") == F.col("_h"))
+    marks = marks.select(F.col("item").alias("_i"), F.col("hub").alias("_h"), "rank", "open", (2 * F.col("n") > F.col("size")).alias("inside"))
+    rows = items.join(materialise(marks, "marks"), (F.col("item") == F.col("_i")) & (F.col("hub") == F.col("_h")))
+    order = [F.desc("rank"), F.desc("item")]
+    upto = lambda *by: F.sum(F.when(F.col("open"), F.col("share")).otherwise(0.0)).over(Window.partitionBy("key").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    whole = Window.partitionBy("key")
+    rows = rows.withColumn("rest", upto(*order)).withColumn("rest_hub", upto(F.desc("inside"), *order))
+    rows = rows.withColumn("out", F.sum(F.when(~F.col("inside"), F.col("share")).otherwise(0.0)).over(whole))
+    rows = rows.withColumn("n_in", F.sum(F.col("inside").cast("int")).over(whole)).withColumn("one", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("inside"), *order)) == 1)
+    early = F.col("open") & (F.greatest("rest", "rest_hub") >= threshold - 1e-9)
+    rows = rows.withColumn("early", early).where("early or one")
+    return materialise(rows.select("key", "label", "hub", "item", "total", "inside", "rest", "rest_hub", "out", "n_in", "one", "early"), "early")
+
+
+def _nearest(early: DataFrame) -> DataFrame:
+    """``key``, ``centre`` and their labels: each text and the one of its hub's group that is nearest to the inside shingles."""
+    texts = early.where("one").select("key", "label", "hub", (F.col("n_in") - F.col("out") * F.col("total")).alias("fit"))
+    best = texts.groupBy(F.col("hub").alias("_h")).agg(F.max(F.struct("fit", "key", "label")).alias("c"))
+    met = texts.join(best, F.col("hub") == F.col("_h")).where(F.col("label") != F.col("c.label"))
+    return met.select("key", "label", F.col("c.key").alias("centre"), F.col("c.label").alias("_label"))
+
+
+def _between(early: DataFrame, threshold: float) -> DataFrame:
+    """``key < centre``: all pairs of different classes that may reach the threshold.
+
+    If the first common shingle of two texts with one hub lies inside, none outside is common. So each
+    text's weight outside counts against the pair, and so do the inside shingles that only one of them
+    lacks, each with a share of 1 / total at least. With s and u as above, (1 - s) + (1 - u) is
+    2 (1 - threshold) / (1 + threshold) at most.
+    """
+    late = 2 * (1 - threshold) / (1 + threshold) + 1e-9
+    early = early.where("early").drop("one", "early")
+    # Texts of a shingle's largest class meet the others only, so a large class costs no more than its size.
+    sizes = early.groupBy("item", "label").agg(F.count("*").alias("n")).groupBy(F.col("item").alias("_i"))
+    tops = materialise(sizes.agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("_i", F.col("top.label").alias("top")), "tops")
+    early = early.join(tops, F.col("item") == F.col("_i")).drop("_i")
+    other = early.where(F.col("label") != F.col("top")).drop("top")
+    other = other.select([F.col(c).alias(f"_{c}") for c in other.columns])
+    reach = lambda c: 1 / F.col(c) + 1 / F.col(f"_{c}") <= 1 + 1 / threshold + 1e-9
+    lost = F.col("out") + F.col("_out") + F.abs(F.col("n_in") - F.col("_n_in")) / F.greatest("total", "_total")
+    near = F.when(F.col("hub") == F.col("_hub"), reach("rest_hub") & (~F.col("inside") | (lost <= late))).otherwise(reach("rest"))
+    met = early.join(other, (F.col("item") == F.col("_item")) & (F.col("label") != F.col("_label")) & near)
     return met.select(F.least("key", "_key").alias("key"), F.greatest("key", "_key").alias("centre")).distinct()
 
 
@@ -203,57 +242,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    schema = "id long, key long, n_words long, bands array<long>, extras array<int>"
-    sketches = materialise(rows.mapInArrow(_sketch, schema), "sketches")
-    in_bands = sketches.where("n_words > 0").select("key", F.posexplode("bands").alias("band", "bucket"), "extras")
-    shared = (
-        in_bands.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    )
-    far = lambda k: F.get("extras", (F.col("band") + k) % BANDS)
-    members = in_bands.join(shared.select(F.col("bucket").alias("_b")), F.col("bucket") == F.col("_b")).groupBy(
-        "bucket", "key"
-    ).agg(F.min(far(1)).alias("extra1"), F.min(far(2)).alias("extra2"))
-    members = materialise(members, "members")
-    wanted = members.select(F.col("key").alias("_k")).distinct()
+    sketches = materialise(rows.mapInArrow(_sketch, "id long, key long, n_words long, bands array<long>"), "sketches")
+    # Equal texts become one node; buckets are counted before anything meets in them.
+    nodes = sketches.where("n_words > 0").groupBy("key").agg(F.any_value("bands").alias("bands"))
+    in_bands = nodes.select("key", F.explode("bands").alias("bucket"))
+    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "_b")
+    members = materialise(in_bands.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "key", "n"), "members")
+    wide = members.groupBy("key").agg(F.sum("n").alias("met")).withColumnRenamed("key", "_k")
     # Equal texts are reduced to one before the shuffle; only those in a shared bucket are kept.
     one = rows.groupBy("key").agg(F.max("text").alias("text"))
-    texts = materialise(one.join(wanted, F.col("key") == F.col("_k"), "left_semi"), "texts")
+    texts = materialise(one.join(wide, F.col("key") == F.col("_k"), "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         centre = texts.select(F.col("key").alias("centre"), F.col("text").alias("centre_text"))
         full = pairs.join(texts, "key").join(centre, "centre").select("key", "centre", "text", "centre_text")
-        return materialise(full.mapInArrow(_verify, "a long, b long, similarity double"), "verified")
-
-    centres = members.groupBy("bucket").agg(F.min("key").alias("centre")).withColumnRenamed("bucket", "_b")
-    pairs = members.join(centres, F.col("bucket") == F.col("_b")).where("key <> centre")
-    tried = verified(pairs.select("key", "centre").distinct())
-    labels = components(tried.where(F.col("similarity") >= threshold).select("a", "b"))
-
-    # Buckets whose members aren't all of one class yet: each draws other centres, also in finer buckets.
-    label = labels.select(F.col("node").alias("_n"), "label")
-    named = members.join(label, F.col("key") == F.col("_n"), "left").withColumn("label", F.coalesce("label", "key"))
-    named = materialise(named.select("bucket", "key", "extra1", "extra2", "label"), "named")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    named = named.join(mixed.select(F.col("bucket").alias("_b")), F.col("bucket") == F.col("_b"))
-    finer = [F.xxhash64("bucket", F.lit(k), *[f"extra{i}" for i in range(1, k + 1)]) for k in range(REFINED + 1)]
-    parts = named.select("key", "label", F.explode(F.array(*finer)).alias("part"))
-    drawn = F.min_by(F.struct("key", "label"), F.xxhash64("key", "part")).alias("c")
-    centres = parts.groupBy("part").agg(drawn, F.min("label").alias("low"), F.max("label").alias("high"))
-    centres = centres.where("low <> high").select(F.col("part").alias("_p"), F.col("c.key").alias("centre"), F.col("c.label").alias("_l"))
-    pairs = parts.join(centres, F.col("part") == F.col("_p")).where("label <> _l").select("key", "centre").distinct()
-    seen = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    pairs = materialise(pairs.join(seen, (F.col("key") == F.col("_a")) & (F.col("centre") == F.col("_b")), "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        tried = tried.unionByName(verified(pairs))
-        labels = components(tried.where(F.col("similarity") >= threshold).select("a", "b"))
-
-    # What no centre has settled: exactly, whatever the size of the group.
-    pairs = _left(members, texts, labels, threshold)
-    seen = tried.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
-    pairs = materialise(pairs.join(seen, (F.col("key") == F.col("_a")) & (F.col("centre") == F.col("_b")), "left_anti"), "left")
-    if not pairs.isEmpty():
-        tried = tried.unionByName(verified(pairs))
-        labels = components(tried.where(F.col("similarity") >= threshold).select("a", "b"))
+        found = full.mapInArrow(_verify, "a long, b long, similarity double")
+        return materialise(found.where(F.col("similarity") >= threshold).select("a", "b"), "verified")
+
+    best = members.join(wide, F.col("key") == F.col("_k")).groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("c"))
+    met = members.join(best.select(F.col("bucket").alias("_b"), "c.*").withColumnRenamed("key", "centre"), F.col("bucket") == F.col("_b"))
+    met = materialise(met.select("key", "centre", "met").distinct(), "met")
+    hubs = met.groupBy("key").agg(F.max(F.struct("met", "centre")).alias("c")).select("key", F.col("c.centre").alias("hub"))
+    links = verified(met.where("key <> centre").select("key", "centre"))
+    early = _early(members, hubs, texts, materialise(_hubs(links), "hubs"), threshold)
+    nearest = _nearest(early)
+    more = verified(nearest.select("key", "centre"))
+    # Classes that the nearest text links are one from here on.
+    joined = nearest.join(more, (F.col("key") == F.col("a")) & (F.col("centre") == F.col("b")))
+    joined = materialise(joined.groupBy(F.col("label").alias("_l")).agg(F.min("_label").alias("_to")), "joined")
+    early = early.join(joined, F.col("label") == F.col("_l"), "left").withColumn("label", F.coalesce("_to", "label")).drop("_l", "_to")
+    links = links.unionByName(more).unionByName(verified(_between(materialise(early, "early"), threshold)))
+    labels = components(links)
     out = _classes(sketches, labels)
     return out if with_row else out.drop("row")
 
