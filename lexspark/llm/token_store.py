@@ -1,13 +1,16 @@
 """Token ids in binary shards of independent Zstandard frames, read document by document.
 
 A shard is a series of frames, each the ids (unsigned 32-bit, little-endian) of some whole documents and
-ended before it grows past ``FRAME_TOKENS``; a longer document has a frame of its own. The last frame is
-the directory: for each document its id, whether it has one, its frame, its place there and its number
-of ids. A skippable frame with the seek table follows, laid out as in Zstandard's public seekable
-format: compressed size, decompressed size and the low 32 bits of XXH64 of the content for each frame.
+ended before it grows past ``FRAME_TOKENS``; a longer document has a frame of its own. Directory frames
+follow: for each document its id, whether it has one, its frame, its place there and its number of ids,
+``DIRECTORY_DOCS`` documents to a frame. The last frame is the index: the lowest and highest id of each
+directory frame. A skippable frame with the seek table ends the file, laid out as in Zstandard's public
+seekable format: compressed size, decompressed size and the low 32 bits of XXH64 of the content for each
+frame.
 
-A reader takes the footer, the directory and then only the frames that hold the documents it wants, and
-checks the checksum of each frame it takes. Paths may be of any file system that pyarrow knows.
+A reader takes the footer, the index, the directory frames that may hold the documents it wants and then
+only those documents' frames, and checks the checksum of each frame it takes. Paths may be of any file
+system that pyarrow knows.
 
 A task writes to a name of its own and reports it; names of tasks that were lost or repeated are in no
 manifest, so they are never read.
@@ -29,9 +32,11 @@ from . import textops as X
 from .byte_bpe import encoder
 from .shared import materialise, scratch_path
 
-FRAME_TOKENS, SHARD_TOKENS, LEVEL = 1 << 16, 1 << 26, 3
+FRAME_TOKENS, SHARD_TOKENS, SHARD_DOCS, DIRECTORY_DOCS, LEVEL = 1 << 16, 1 << 26, 1 << 21, 1 << 12, 3
+READERS = 50_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _DIRECTORY = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4"), ("has_id", "u1")])
+_INDEX = np.dtype([("low", "<i8"), ("high", "<i8"), ("n", "<u4"), ("n_ids", "<u4")])
 
 
 def _open(uri: str):
@@ -53,7 +58,8 @@ class ShardWriter:
         self.frames: list[tuple[int, int, int]] = []
         self.held: list[np.ndarray] = []
         self.rows: list[tuple] = []
-        self.n_held = self.n_tokens = 0
+        self.directories: list[np.ndarray] = []
+        self.n_held = self.n_tokens = self.n_docs = 0
 
     def _frame(self, raw: bytes) -> None:
         import xxhash
@@ -67,17 +73,34 @@ class ShardWriter:
             self._frame(np.concatenate(self.held).astype("<u4").tobytes())
         self.held, self.n_held = [], 0
 
+    def _shelve(self) -> None:
+        if self.rows:
+            self.directories.append(np.array(self.rows, _DIRECTORY))
+        self.rows = []
+
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if self.held and self.n_held + len(ids) > FRAME_TOKENS:
+        if self.held and (self.n_held + len(ids) > FRAME_TOKENS or len(self.held) >= DIRECTORY_DOCS):
             self._flush()
+        if len(self.rows) >= DIRECTORY_DOCS:
+            self._shelve()
         self.rows.append((doc_id or 0, len(self.frames), self.n_held, len(ids), doc_id is not None))
         self.held.append(ids)
         self.n_held += len(ids)
         self.n_tokens += len(ids)
+        self.n_docs += 1
+
+    def full(self) -> bool:
+        return self.n_tokens > SHARD_TOKENS or self.n_docs >= SHARD_DOCS
 
     def close(self) -> None:
         self._flush()
-        self._frame(np.array(self.rows, _DIRECTORY).tobytes())
+        self._shelve()
+        index = []
+        for d in self.directories:
+            named = d["doc_id"][d["has_id"] > 0]
+            index.append((named.min(initial=2**63 - 1), named.max(initial=-(2**63)), len(d), len(named)))
+            self._frame(d.tobytes())
+        self._frame(np.array(index, _INDEX).tobytes())
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, _SEEKABLE)
         self.out.write(struct.pack("<II", _SKIPPABLE, len(table)) + table)
         self.out.close()
@@ -96,8 +119,9 @@ class ShardReader:
         self.file.seek(self.file.size() - 9 - 12 * n)
         self.frames = np.frombuffer(self.file.read(12 * n), "<u4").reshape(n, 3).astype(np.int64)
         self.begin = np.cumsum(self.frames[:, 0]) - self.frames[:, 0]
-        self.directory = np.frombuffer(self.frame(n - 1), _DIRECTORY)
-        self.frames_read = 0
+        self.frames_read = 0  # of documents
+        self.index = np.frombuffer(self.frame(n - 1), _INDEX)
+        self.first_directory = n - 1 - len(self.index)
 
     def frame(self, k: int) -> bytes:
         import xxhash
@@ -108,7 +132,6 @@ class ShardReader:
         raw = zstandard.ZstdDecompressor().decompress(self.file.read(int(packed)), max_output_size=int(size))
         if len(raw) != size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {k} is damaged")
-        self.frames_read = getattr(self, "frames_read", 0) + 1
         return raw
 
     def _documents(self, rows: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -116,20 +139,28 @@ class ShardReader:
         for d in rows:
             if d["frame"] != last:
                 last, ids = d["frame"], np.frombuffer(self.frame(int(d["frame"])), "<u4")
+                self.frames_read += 1
             yield int(d["doc_id"]) if d["has_id"] else None, ids[d["at"] : d["at"] + d["n"]]
 
+    def directory(self, k: int) -> np.ndarray:
+        return np.frombuffer(self.frame(self.first_directory + k), _DIRECTORY)
+
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        return self._documents(self.directory)
+        for k in range(len(self.index)):
+            yield from self._documents(self.directory(k))
 
     def read(self, doc_ids: Iterable[int]) -> Iterator[tuple[int | None, np.ndarray]]:
-        wanted = self.directory["has_id"].astype(bool) & np.isin(self.directory["doc_id"], list(doc_ids))
-        return self._documents(self.directory[wanted])
+        wanted = np.unique(np.array(list(doc_ids), np.int64))
+        at = np.searchsorted(wanted, self.index["low"])
+        for k in np.flatnonzero((self.index["n_ids"] > 0) & (at < np.searchsorted(wanted, self.index["high"], "right"))):
+            rows = self.directory(int(k))
+            yield from self._documents(rows[(rows["has_id"] > 0) & np.isin(rows["doc_id"], wanted)])
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all documents into shards below ``folder``; returns the manifest, a row for each shard.
 
-    Rows are sorted by id (null first; rows of one id by text). Null texts count as empty, so they hold
+    Rows are sorted by id (null first; rows of one id by a hash of the text); rows of one id may lie in several tasks. Null texts count as empty, so they hold
     the end id alone. Manifest: ``shard`` (uri), ``nth`` (order), ``n_docs``, ``n_tokens``, ``start``
     (ids in all shards before). An empty table gives an empty manifest and no files.
     """
@@ -141,7 +172,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
 
         def done(w):
             w.close()
-            columns = [[w.uri], [part * (1 << 32) + nth], [len(w.rows)], [w.n_tokens]]
+            columns = [[w.uri], [part * (1 << 32) + nth], [w.n_docs], [w.n_tokens]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "nth", "n_docs", "n_tokens"])
 
         for batch in batches:
@@ -150,7 +181,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
                 ids, counts = e.encode(t)
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 for i in range(t.n):
-                    if out is not None and out.n_tokens > SHARD_TOKENS:
+                    if out is not None and out.full():
                         yield done(out)
                         nth, out = nth + 1, None
                     out = out or ShardWriter(f"{folder}/{uuid.uuid4().hex}.tokens")
@@ -158,8 +189,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
         if out is not None:
             yield done(out)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("nth"))
+    rows = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = ["id", "hash", "nth"]  # nth tells repeated rows apart, so that many of them can be dealt out
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     shards = materialise(dealt.mapInArrow(run, "shard string, nth long, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -185,8 +218,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = materialise(manifest, "starts").repartition("shard")
-    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = materialise(manifest, "starts")
+    n = starts.count()  # a partition for each shard, up to a number that a driver can still track
+    return starts.repartition(min(max(n, 1), READERS)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
