@@ -10,10 +10,11 @@ in overlapping windows.
 words, are the landmarks; their number is fixed. A sentence is represented by its largest kernel value
 with each landmark, mapped by the inverse square root of the landmarks' kernel matrix (Nystroem).
 
-*Training.* On the labelled documents with the smallest hashes of their ids, at most ``SAMPLE``. Every
-document gives one sentence, with the document's label, to a linear machine with squared hinge loss: at
-first the one nearest to the toxic landmarks, then the one that the machine finds worst. A document's score is that of its worst sentence, as a probability fitted on the
-same sample. Scoring reads every word of every text: one table lookup for each triple bounds a word's
+*Training.* On the labelled documents with the smallest hashes of their ids, at most ``SAMPLE`` rows. All
+their sentences are represented and written once. Every document gives one sentence, with the document's
+label, to a linear machine with squared hinge loss: at first the one nearest to the toxic landmarks, then,
+twice, the one that the machine finds worst. A document's score is that of its worst sentence, as a
+probability fitted on the same sample. Scoring reads every word of every text: one table lookup for each triple bounds a word's
 kernel values from above, and only words whose bound reaches ``CUT`` are compared with the landmarks.
 """
 
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from .quality_classifier import held_out
 from .shared import materialise
 
 SPAN, DECAY, CUT, POWER = 5, 0.7, 0.5, 2
-SAMPLE, TOXIC_WORDS, OTHER_WORDS, SENTENCES = 20_000, 160, 40, 3
+SAMPLE, TOXIC_WORDS, OTHER_WORDS = 20_000, 160, 40
 LONG, STEP = 24, 8
 REMEMBERED = 1_000_000
 COST = 10_000.0
@@ -271,12 +273,14 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``sample`` labelled rows. Without toxic or without other labels every text scores alike."""
+    """Fit on at most ``sample`` labelled rows, one for each id. Without toxic or without other labels every text scores alike."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id"))
     known = known.agg((F.avg(label_col) >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # Broadcast: at most ``sample`` pairs of an id and a label.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    train = materialise(rows.join(F.broadcast(known), F.col("id") == F.col("_id")).select("text", "y"), "labelled")
+    rows = rows.join(F.broadcast(known), F.col("id") == F.col("_id"))
+    # One row for each id, the same in every run, so that a repeated id brings no more.
+    train = materialise(rows.groupBy("id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
 
     def counted(batches):
         for batch in batches:
@@ -308,37 +312,52 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE
     other = counts.where(p < 1.5 * q).orderBy(F.desc("n"), "word").limit(OTHER_WORDS).collect()
     marks = Landmarks([r.word[:LONG] for r in [*toxic, *other]], len(toxic))
 
-    width = SENTENCES * len(marks.words)
+    m = len(marks.words)
 
     def represented(batches):
+        """The kernel values of every sentence near a landmark that aren't 0, and a row without any for each document."""
         for batch in batches:
             for t in X.slices(batch.column("text"), SLICE):
                 doc, values = marks.sentences(t)
-                order = np.lexsort((-values[:, : marks.n_toxic].max(axis=1, initial=0), doc))
-                doc, values = doc[order], values[order]
-                nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                few = nth < SENTENCES
-                out = np.zeros((t.n, SENTENCES, len(marks.words)), np.float32)
-                out[doc[few], nth[few]] = values[few]
-                edges = pa.array(np.arange(t.n + 1) * width, pa.int32())
-                rows = pa.ListArray.from_arrays(edges, pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("y").slice(t.first, t.n), rows], names=["y", "v"])
-
-    # A row of fixed width for each of at most ``sample`` documents reaches the driver.
-    got = train.mapInArrow(represented, "y int, v array<float>").toArrow()
-    y = np.asarray(got.column("y"))
-    values = np.asarray(got.column("v").combine_chunks().flatten(), np.float32).reshape(len(y), SENTENCES, len(marks.words))
-    scale, basis = np.linalg.eigh(marks.gram + 0.05 * np.eye(len(marks.words)))
+                doc = np.concatenate([doc, np.arange(t.n)])
+                values = np.concatenate([values, np.zeros((t.n, m), np.float32)])
+                row, col = np.nonzero(values)
+                edges = pa.array(np.searchsorted(row, np.arange(len(doc) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (col.astype(np.int16), values[row, col])]
+                kept = [batch.column(c).take(pa.array(doc + t.first)) for c in ("id", "y")]
+                yield pa.RecordBatch.from_arrays([*kept, *lists], names=["id", "y", "cols", "vals"])
+
+    sentences = materialise(train.mapInArrow(represented, "id long, y int, cols array<short>, vals array<float>"), "sentences")
+
+    def dense(table) -> np.ndarray:
+        out = np.zeros((table.num_rows, m), np.float32)
+        size = np.asarray(pc.list_value_length(table.column("cols")))
+        out[np.repeat(np.arange(len(size)), size), np.asarray(pc.list_flatten(table.column("cols")))] = np.asarray(pc.list_flatten(table.column("vals")))
+        return out
+
+    def chosen(mark) -> tuple[np.ndarray, np.ndarray]:
+        """Label and values of each document's sentence with the largest mark: at most ``sample`` rows reach the driver."""
+
+        def marked(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mark(dense(batch)).astype(float))], names=[*batch.schema.names, "mark"])
+
+        one = sentences.mapInArrow(marked, "id long, y int, cols array<short>, vals array<float>, mark double")
+        best = one.groupBy("id", "y").agg(F.max(F.struct("mark", "cols", "vals")).alias("s")).select("id", "y", "s.cols", "s.vals")
+        got = best.toArrow().sort_by("id")
+        return np.asarray(got.column("y")), dense(got)
+
+    scale, basis = np.linalg.eigh(marks.gram + 0.05 * np.eye(m))
     root = basis @ np.diag(scale**-0.5) @ basis.T
+    y, values = chosen(lambda v: v[:, : marks.n_toxic].max(axis=1, initial=0))
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
-    worst = np.zeros(len(y), np.int64)
     for _ in range(3):
-        x = np.hstack([values[np.arange(len(y)), worst] @ root, np.ones((len(y), 1))])
+        x = np.hstack([values @ root, np.ones((len(y), 1))])
         w = squared_hinge(x, np.where(y > 0, 1.0, -1.0), weight)
         model = Model(marks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
-        margins = model.margins(values)
-        worst = margins.argmax(axis=1)
-    model.slope, model.level = logistic(margins.max(axis=1), y.astype(float))
+        y, values = chosen(model.margins)
+    margins = model.margins(values)
+    model.slope, model.level = logistic(margins, y.astype(float))
     return model
 
 
