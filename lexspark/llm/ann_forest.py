@@ -9,7 +9,7 @@ from the leaf's number, one for each further level, so depth follows the data an
 ids, combined before the shuffle; no query needs more than k + 1 of them.
 
 *Search.* A query descends all trees through one priority queue: whichever branch, of any tree, lies
-nearest across a plane is followed next, until the visited leaves hold ``VISIT`` of the forest's entries and at least ``LEAST`` of them.
+nearest across a plane is followed next, until the visited leaves hold ``VISIT`` of the forest's entries.
 Leaves are cut into blocks of at most ``BLOCK`` vectors and of queries, joined by leaf; each pair of
 blocks is one matrix product that keeps k + 1 entries for each query. The nearest of all blocks are scored
 once more, by sums in one order, so that a pair has the same score wherever it was met.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-TREES, SAMPLE, FIT_LEAF, LEAF, BLOCK, VISIT, LEAST, SEED = 8, 16_384, 32, 128, 2048, 0.14, 8192, 5
+TREES, SAMPLE, FIT_LEAF, LEAF, BLOCK, VISIT, SEED = 8, 16_384, 32, 128, 2048, 0.2, 5
 
 
 class Forest:
@@ -98,7 +98,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     ``is_query`` is a condition on the id column, named ``vec_id``. Vectors that are null, zero, empty or of
     another length than most, or that hold null or non-finite components, and rows without an id, take no
-    part. Repeated rows of an id and vector count once; ids are taken to be unique otherwise. Fewer than k
+    part. Repeated rows of an id and vector count once. An id with several vectors asks with the smallest of
+    them and is found by each. Fewer than k
     rows come where there are fewer candidates; an empty table gives an empty one. Equal scores go by id.
     """
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
@@ -171,7 +172,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             for i in range(len(u)):
                 heap = [(-1.0, t, root, 0, 0) for t, root in enumerate(forest.roots)]
                 held = 0.0
-                while heap and held < max(visit * total, LEAST):
+                while heap and held < visit * total:
                     far, t, node, level, part = heapq.heappop(heap)
                     while node >= 0:
                         z = side[i, node] - forest.cuts[node]
@@ -195,7 +196,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             yield pa.RecordBatch.from_arrays([pa.array(q[:, 1]), pa.array(q[:, 2]), batch.column("vec_id").take(take), batch.column("x").take(take)], names=["fit", "part", "query_id", "qx"])
 
     leaves = entries.select("key", "x").mapInArrow(index, "fit long, part long, key long, x array<double>")
-    queries = rows.where(is_query).select("vec_id", "x").dropDuplicates(["vec_id"])
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
     spread = max(1, vectors.sparkSession.sparkContext.defaultParallelism * 4)
     asked = queries.repartition(spread, "vec_id").mapInArrow(visits, "fit long, part long, query_id long, qx array<double>")
     leaves, asked = materialise(leaves, "leaves"), materialise(asked, "visits")
