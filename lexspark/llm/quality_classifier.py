@@ -23,7 +23,7 @@ from . import textops as X
 from .quality_rules import statistics
 from .shared import materialise
 
-FEATURES, WIDTH, RIDGE, SEED, TASKS = 192, 4.0, 1.0, 11, 64
+FEATURES, WIDTH, RIDGE, SEED = 192, 4.0, 1.0, 11
 BINS, LOW, HIGH = 2048, -0.5, 1.5
 N_STATS = 18
 
@@ -142,8 +142,8 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_
         value = np.concatenate([a[upper], c])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int32()), pa.array(value)], names=["k", "v"])
 
-    # At most TASKS tasks give one row for each entry of the system; Spark adds them up.
-    sums = train.coalesce(TASKS).mapInArrow(products, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    # Every task gives one row for each entry of the system; Spark adds them up.
+    sums = train.mapInArrow(products, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
     value = sums.sort_values("k").v.to_numpy()
     a = np.zeros((m, m))
     a[upper] = value[: len(upper[0])]

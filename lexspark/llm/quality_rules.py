@@ -153,8 +153,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return assess(read_table(spark, sf_dir, "documents"))
 
 
-#: The rules in DuckDB's SQL. It still counts a line's documents by their longest other lines, not by their texts;
-#: on sf0.01, sf0.1, check_s and check_h both find the same lines.
+#: The same rules in DuckDB's SQL.
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
@@ -175,16 +174,15 @@ with_word AS (
 ),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM with_word GROUP BY doc_id),
 line AS (SELECT doc_id, source, norm, sum(n) AS words FROM with_word GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY strlen(norm) DESC, norm) AS r FROM line),
-top AS (SELECT doc_id, max(norm) FILTER (r = 1) AS first, max(norm) FILTER (r = 2) AS second FROM ranked GROUP BY doc_id),
 frequent AS (
-  SELECT source, norm FROM (
-    SELECT l.source, l.norm, count(DISTINCT coalesce(CASE WHEN l.norm = t.first THEN t.second ELSE t.first END, '')) AS n
-    FROM line l JOIN top t USING (doc_id) GROUP BY ALL
-  ) JOIN (SELECT source, count(*) AS docs FROM documents GROUP BY source) USING (source)
-  WHERE n >= {LEAST} AND n > greatest({LEAST}, {SHARE} * docs)
+  SELECT f.source, f.norm FROM (
+    SELECT l.source, l.norm, count(DISTINCT d.text) AS n FROM line l JOIN d USING (doc_id) GROUP BY ALL
+  ) f JOIN (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source) h ON f.source IS NOT DISTINCT FROM h.source
+  WHERE n > greatest({LEAST}, {SHARE} * docs)
+),
+removed AS (
+  SELECT l.doc_id, sum(l.words) AS n FROM line l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.doc_id
 ),
-removed AS (SELECT doc_id, sum(words) AS n FROM line JOIN frequent USING (source, norm) GROUP BY doc_id),
 s AS (
   SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
