@@ -129,7 +129,26 @@ def coverage(listed: DataFrame, acts: DataFrame) -> DataFrame:
     return out.withColumn("missing", F.col("in_source") - F.col("had")).withColumn("complete", F.col("missing") <= 0)
 
 
-def next_year(state: int, complete: bool, current: int, first: int = 1918) -> int:
-    """UP9: the year that the backfill looks at next."""
+FIRST_YEAR = 1918
+
+
+def next_year(state: int, complete: bool, current: int, first: int = FIRST_YEAR) -> int:
+    """UP9: the year that the backfill looks at next: the one before a complete year, from the first on the current one."""
     following = state - 1 if complete else state
     return current if following < first else following
+
+
+def backfilled(cursor: DataFrame, covered: DataFrame, current: Column) -> DataFrame:
+    """UP9: the next state of ``cursor`` (publisher, year): one row for each publisher that is known or listed.
+
+    ``covered`` is the result of `coverage`. A publisher without a state starts in the current year; a year
+    that isn't listed has nothing to bring and counts as complete. ``also_current`` says that the current year
+    still lacks acts, so that it is looked at in this call too.
+    """
+    known = cursor.select("publisher", "year").unionByName(covered.select("publisher").distinct().join(cursor.select("publisher"), "publisher", "left_anti").withColumn("year", current))
+    done = covered.select("publisher", "year", "complete")
+    now = covered.where(F.col("year") == current).select("publisher", (~F.col("complete")).alias("also_current"))
+    out = known.join(done, ["publisher", "year"], "left").join(now, "publisher", "left")
+    following = F.col("year") - F.coalesce("complete", F.lit(True)).cast("int")
+    step = F.when(following < FIRST_YEAR, current).otherwise(following)
+    return out.select("publisher", step.cast("int").alias("year"), F.coalesce("also_current", F.lit(False)).alias("also_current"))

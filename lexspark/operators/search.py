@@ -1,11 +1,13 @@
 """Search over judgments and acts: filters, token index, rank, order, pages, counts (FI*, FT*, SO*, TK*, PR1).
 
 Criteria are parameters; the result is a DataFrame. Candidates keep their key and rank only; wide columns
-are joined for the rows of one page.
+are joined for the rows of one page. Phrases are looked up in a stored token index, if one is given: only the
+buckets and row groups of the phrase's tokens are read, and no text.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ from ..functions.text import tokens
 from ..schemas import KEY
 
 PAGE_SIZES, DEFAULT_PAGE = (20, 50, 100), 20
+#: Buckets of a stored index, by token; the postings of a bucket are dealt to so many files.
+BUCKETS, FILES = 64, 2
 
 
 @dataclass(frozen=True)
@@ -122,10 +126,22 @@ def postings(rows: DataFrame, column: Column, key: tuple[str, ...] = KEY) -> Dat
     return rows.select(*key, F.explode(tokens(column)).alias("token")).groupBy("token", *key).agg(F.count("*").alias("tf"))
 
 
-def lookup(index: DataFrame, phrase: str, key: tuple[str, ...] = KEY) -> DataFrame:
-    """FT2: keys that have every token, with their rank, from the postings of these tokens only."""
+def write_index(index: DataFrame, path: str, buckets: int = BUCKETS, files: int = FILES, key: tuple[str, ...] = KEY) -> None:
+    """FT2: postings in folders by bucket of their token, sorted by token inside; a frequent token fills several files."""
+    bucket = F.pmod(F.crc32("token"), F.lit(buckets)).cast("int")
+    dealt = index.withColumn("bucket", bucket).repartition(buckets * files, "bucket", F.pmod(F.xxhash64(*key), F.lit(files)))
+    dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+
+
+def lookup(index: DataFrame, phrase: str, key: tuple[str, ...] = KEY, buckets: int = BUCKETS) -> DataFrame:
+    """FT2: keys that have every token, with their rank, from the postings of these tokens only.
+
+    Of an index written by ``write_index`` only the tokens' buckets are read.
+    """
     wanted = query_tokens(phrase)
     found = index.where(F.col("token").isin(wanted)) if wanted else index.limit(0)
+    if wanted and "bucket" in index.columns:
+        found = found.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % buckets for t in wanted})))
     by = found.groupBy(*key).agg(F.count("*").alias("n"), F.round(F.sum(F.col("tf") / (F.col("tf") + 1.0)), 6).alias("rank"))
     return by.where(F.col("n") == len(wanted)).drop("n")
 
@@ -150,22 +166,25 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = DEFA
     return rows.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
-def matches(rows: DataFrame, q: Query, text: Column, source: bool = True, substring: bool = False) -> DataFrame:
+def matches(rows: DataFrame, q: Query, text: Column, source: bool = True, substring: bool = False, index: DataFrame | None = None) -> DataFrame:
     """FT1, FT4: all rows that match, with ``rank`` where there is a phrase. Rows without a text don't count."""
     out = rows.where(criteria(q, source))
+    if q.phrase.strip() and index is not None and not substring:
+        return out.join(lookup(index, q.phrase), list(KEY))
     if q.phrase.strip():
         test = has_substring(q.phrase, q.literal) if substring else has_tokens(text, q.phrase)
         out = out.where(test).withColumn("rank", F.lit(0.0) if substring else rank(text, q.phrase))
     return out
 
 
-def search(rows: DataFrame, q: Query, text: Column, number: int = 1, size: int = DEFAULT_PAGE, substring: bool = False) -> DataFrame:
+def search(rows: DataFrame, q: Query, text: Column, number: int = 1, size: int = DEFAULT_PAGE, substring: bool = False, index: DataFrame | None = None) -> DataFrame:
     """FT7: one page of matches, in order. The page is found on keys; its rows are joined afterwards."""
-    found = matches(rows, q, text, substring=substring)
+    found = matches(rows, q, text, substring=substring, index=index)
     narrow = [*KEY, "judgment_date", "publication_date", *(["rank"] if "rank" in found.columns else [])]
     few = page(found.select(*narrow), ordering(q, "rank" in found.columns), number, size)
     kept = few.select(*KEY, *(["rank"] if "rank" in found.columns else []))
-    return rows.join(kept, list(KEY)).orderBy(*ordering(q, "rank" in found.columns))  # at most a page of rows
+    # At most a page of keys, so it is sent to the tasks that read the table.
+    return rows.join(F.broadcast(kept), list(KEY)).orderBy(*ordering(q, "rank" in found.columns))
 
 
 def get_judgment(rows: DataFrame, source: str, doc_id: str) -> DataFrame:
@@ -178,9 +197,9 @@ def get_act(rows: DataFrame, publisher: str, year: int, pos: int) -> DataFrame:
     return rows.where((F.col("publisher") == publisher) & (F.col("year") == year) & (F.col("pos") == pos))
 
 
-def count_by_source(rows: DataFrame, q: Query, text: Column, substring: bool = False) -> DataFrame:
+def count_by_source(rows: DataFrame, q: Query, text: Column, substring: bool = False, index: DataFrame | None = None) -> DataFrame:
     """FT5, FT6: matches per source, whatever source the query names."""
-    return matches(rows, q, text, source=False, substring=substring).groupBy("source").count()
+    return matches(rows, q, text, source=False, substring=substring, index=index).groupBy("source").count()
 
 
 def latest(rows: DataFrame, n: int, source: str = "", since: str = "", date_field: str = "judgment") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, fields, subjects, text
 from ..operators import acts, ingest, layout, merge, reports, search, subject_index, tables
 from ..operators.search import Query
+from ..schemas import ACT_KEY, SENTINEL
 from ..session import shared_folder
 from ..sources import io, pages
 from ..streaming import jobs
@@ -53,12 +54,12 @@ m AS (SELECT *, round(list_count(list_filter(toks, lambda x: x = 'the')) / (list
 # -- search ------------------------------------------------------------------------------------
 @query("search_fulltext", f"{_FOUND} SELECT source, doc_id, judgment_date::VARCHAR AS judgment_date, rank::DOUBLE AS rank FROM m ORDER BY rank DESC, m.judgment_date DESC, source, doc_id LIMIT 20")
 def search_fulltext(spark, d):
-    return search.search(views.judgments(spark, d), Query(phrase="The tion!"), _text()).select("source", "doc_id", _day("judgment_date"), "rank")
+    return search.search(views.judgments(spark, d), Query(phrase="The tion!"), _text(), index=views.index(spark, d)).select("source", "doc_id", _day("judgment_date"), "rank")
 
 
 @query("search_index", f"{_FOUND} SELECT source, doc_id, rank::DOUBLE AS rank FROM m")
 def search_index(spark, d):
-    return search.lookup(search.postings(views.judgments(spark, d), _text()), "The tion!")
+    return search.lookup(views.index(spark, d), "The tion!")
 
 
 @query("inverted_index", f"{J}, t AS (SELECT source, doc_id, unnest({_T}) AS token FROM j) SELECT token, source, doc_id, count(*) AS tf FROM t GROUP BY ALL")
@@ -82,7 +83,7 @@ def search_advanced(spark, d):
 
 @query("count_by_source", f"{_FOUND} SELECT source, count(*) AS count FROM m GROUP BY source")
 def count_by_source(spark, d):
-    return search.count_by_source(views.judgments(spark, d), Query(phrase="tion the", source="ms"), _text())
+    return search.count_by_source(views.judgments(spark, d), Query(phrase="tion the", source="ms"), _text(), index=views.index(spark, d))
 
 
 @query("any_term", f"{J} SELECT source, count(*) AS n FROM j WHERE legal_basis ILIKE '%k.c.%' OR legal_basis ILIKE '%kk%' GROUP BY source")
@@ -124,8 +125,8 @@ def point_lookup(spark, d):
 
 @query("act_lookup", f"{A} SELECT publisher, year, pos, title FROM a WHERE publisher = 'MP' AND pos = 77 AND year = (SELECT year(o_orderdate) FROM orders WHERE o_orderkey = 77)")
 def act_lookup(spark, d):
-    years = read(spark, d, "orders").where("o_orderkey = 77").select(F.year("o_orderdate").alias("year"))
-    return search.get_act(views.acts(spark, d), "MP", years.first().year, 77).select("publisher", "year", "pos", "title")
+    key = read(spark, d, "orders").where("o_orderkey = 77").select(F.lit("MP").alias("publisher"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").cast("int").alias("pos"))
+    return tables.known(views.acts(spark, d), key, ACT_KEY).select("publisher", "year", "pos", "title")
 
 
 @query("publishers", f"{A} SELECT DISTINCT publisher, CASE publisher WHEN 'DU' THEN 'Dziennik Ustaw' ELSE 'Monitor Polski' END AS name FROM a")
@@ -140,9 +141,11 @@ def completed_records(spark, d):
     return merge.completed(j.withColumn("full_text", F.when(odd, F.col("full_text")))).select("doc_id", "requested")
 
 
-@query("renormalisation", f"{S}, c AS (SELECT count(DISTINCT (source, doc_id)) AS d, count(DISTINCT name) AS t FROM s) SELECT 'with_terms' AS stat, d AS n FROM c UNION ALL SELECT 'changed', d FROM c UNION ALL SELECT 'terms_after', t FROM c")
+@query("renormalisation", f"""{S}, c AS (SELECT count(DISTINCT (source, doc_id)) AS d, count(DISTINCT name) AS t FROM s)
+SELECT 'with_terms' AS stat, d AS n FROM c UNION ALL SELECT 'changed', d FROM c UNION ALL SELECT 'terms_after', t FROM c
+UNION ALL SELECT 'terms_before', count(DISTINCT p_name) + count(DISTINCT CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[1] END) + count(DISTINCT lower(p_type)) FROM part""")
 def renormalisation(spark, d):
-    return subject_index.renormalisation(views.subjects(spark, d)).where("stat <> 'terms_before'")
+    return subject_index.renormalisation(views.subjects(spark, d))
 
 
 # -- tables ------------------------------------------------------------------------------------
@@ -268,12 +271,10 @@ def subject_top(spark, d):
 
 @query("subject_tree", f"""{S}, c AS (SELECT name, count(*) AS n FROM s GROUP BY name UNION ALL SELECT 'Koszty', 0 WHERE (SELECT count(DISTINCT name) FROM s WHERE name LIKE 'Koszty %') >= 2),
 r AS (SELECT name, CASE WHEN split_part(name, ' ', 1) IN (SELECT name FROM c) THEN split_part(name, ' ', 1) ELSE name END AS root FROM c)
-SELECT root AS name, (SELECT n FROM c WHERE c.name = root) AS count, count(DISTINCT (source, doc_id)) AS total, upper(left(root, 1)) AS letter, (count(DISTINCT r.name) - 1)::INT AS n_children
+SELECT root AS name, (SELECT n FROM c WHERE c.name = root) AS count, count(DISTINCT (source, doc_id)) AS total, upper(left(root, 1)) AS letter, (count(DISTINCT r.name) FILTER (r.name <> root))::INT AS n_children
 FROM r JOIN s USING (name) GROUP BY root""")
 def subject_tree(spark, d):
-    out = subject_index.tree(views.subjects(spark, d))
-    umbrella = F.when(F.col("count") == 0, F.size("children") - 1).otherwise(F.size("children"))
-    return out.select("name", "count", "total", "letter", umbrella.alias("n_children"))
+    return subject_index.tree(views.subjects(spark, d)).select("name", "count", "total", "letter", F.size("children").alias("n_children"))
 
 
 @query("umbrella_terms", f"{S} SELECT 'Koszty' AS name WHERE (SELECT count(DISTINCT name) FROM s WHERE name LIKE 'Koszty %') >= 2")
@@ -291,10 +292,9 @@ def renormalise(spark, d):
     return tables.renormalised(views.subjects(spark, d)).agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"))
 
 
-@query("stems", "SELECT DISTINCT w AS word, CASE WHEN length(w) >= 5 AND right(w, 1) IN ('y','i','e','a','o','u') THEN left(w, -1) ELSE w END AS stem FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE NOT (length(w) >= 6 AND right(w, 2) IN ('om', 'ie', 'ia')) AND NOT regexp_matches(w, '(ami|ach)$')")
+@query("stems", "SELECT DISTINCT w AS word, regexp_replace(w, '^(.{4,}?)(" + "|".join(subjects.ENDINGS) + ")$', '\\1') AS stem FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)")
 def stems(spark, d):
     w = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    w = w.where("not (length(word) >= 6 and right(word, 2) in ('om', 'ie', 'ia')) and not word rlike '(ami|ach)$'")
     return w.select("word", subjects.stem(F.col("word")).alias("stem"))
 
 
@@ -443,12 +443,13 @@ def detect_types(spark, d):
     return p.select("p_partkey", F.array_join(fields.doc_types(raw), ",").alias("types"))
 
 
-@query("split_sections", "SELECT doc_id, md5(trim(substr(text, 1, 300), ' ' || chr(10))) AS head, md5(trim(substr(text, 301), ' ' || chr(10))) AS tail FROM documents WHERE length(text) > 400")
+@query("split_sections", """WITH t AS (SELECT doc_id, trim(substr(text, 1, 300), ' ' || chr(10)) AS head, trim(substr(text, 301), ' ' || chr(10)) AS tail, trim(substr(text, 1, 300) || chr(10) || 'U z a s a d n i e n i e' || chr(10) || substr(text, 301), ' ' || chr(10)) AS whole FROM documents)
+SELECT doc_id, CASE WHEN length(head) >= 40 THEN md5(head) END AS head, CASE WHEN length(head) < 40 THEN md5(whole) WHEN tail <> '' THEN md5(tail) END AS tail FROM t""")
 def split_sections(spark, d):
     t = F.col("text")
     joined = F.concat(F.substring(t, 1, 300), F.lit("\nU z a s a d n i e n i e\n"), F.expr("substring(text, 301)"))
     s = fields.split_sections(joined)
-    return read(spark, d, "documents").where(F.length("text") > 400).select("doc_id", F.md5(s["sentencja"]).alias("head"), F.md5(s["uzasadnienie"]).alias("tail"))
+    return read(spark, d, "documents").select("doc_id", F.md5(s["sentencja"]).alias("head"), F.md5(s["uzasadnienie"]).alias("tail"))
 
 
 @query("court_level", f"{J} SELECT doc_id, ['SR', 'SO', 'SA', 'WSA'][(n // 2) % 4 + 1] AS level FROM j")
@@ -487,7 +488,11 @@ def nearest_anchor(spark, d):
     return layout.nearest(layout.anchors(_cells(spark, d))).select("doc", "row_idx", "anchor_idx")
 
 
-@query("logical_rows")
+_MERGED = _CELLS + """, a AS (SELECT r.doc, r.row_idx, CASE WHEN count(a.row_idx) >= 2 THEN arg_min(a.row_idx, abs(a.center - r.center) * 100 + a.row_idx * 0.01) ELSE any_value(r.row_idx) END AS g FROM c r LEFT JOIN c a ON a.doc = r.doc AND a.row_idx % 3 = 1 GROUP BY r.doc, r.row_idx),
+m AS (SELECT doc, g, coalesce(string_agg(CASE WHEN row_idx % 3 = 1 THEN row_idx::VARCHAR END, ' ' ORDER BY row_idx), '') AS a, string_agg('v' || row_idx, ' ' ORDER BY row_idx) AS b FROM a GROUP BY doc, g)"""
+
+
+@query("logical_rows", f"""{_MERGED} SELECT doc, 0 AS table_id, '{SENTINEL}<div class="pdf-table-wrap"><table class="pdf-table"><tbody>' || string_agg('<tr><td>' || a || '</td><td>' || b || '</td></tr>', '' ORDER BY g) || '</tbody></table></div>' AS block FROM m GROUP BY doc""")
 def logical_rows(spark, d):
     return layout.rendered(layout.logical_rows(_cells(spark, d)))
 
@@ -498,21 +503,36 @@ def table_cells_merged(spark, d):
     return layout.logical_rows(_cells(spark, d)).select("doc", "group_idx", F.get("cells", 1).alias("text"))
 
 
-@query("html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages")
+@query("html_title", "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '') AS h1 FROM (SELECT page_id, replace(replace(replace(html, '&lt;', '('), '&gt;', ')'), '&amp;', '+') AS html FROM pages)")
 def html_title(spark, d):
-    p = read(spark, d, "pages")
-    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+    # Entities are replaced on both sides, as SQL can't decode them.
+    plain = F.replace(F.replace(F.replace("html", F.lit("&lt;"), F.lit("(")), F.lit("&gt;"), F.lit(")")), F.lit("&amp;"), F.lit("+"))
+    t = pages.titles(plain)
+    return read(spark, d, "pages").select("page_id", t["title"].alias("title"), t["h1"].alias("h1"))
 
 
-@query("blocked_pages", "SELECT page_id FROM pages WHERE contains(left(html, 8000), 'captchaform') OR contains(left(html, 8000), 'Access Denied') OR contains(left(html, 8000), 'Request Rejected') OR contains(left(html, 8000), '/captcharenderer/')")
+_MARKS = ["captchaform", "Access Denied", "Request Rejected", "/captcharenderer/"]
+
+
+@query("blocked_pages", "SELECT page_id FROM pages WHERE page_id % 5 < 4 AND page_id % 2 = 0 OR " + " OR ".join(f"contains(left(html, 7000), '{m}')" for m in _MARKS))
 def blocked_pages(spark, d):
+    """Pages with even ids carry a mark of a block page, those of the last fifth too late for it to count."""
     p = read(spark, d, "pages")
-    return p.where(pages.blocked(F.col("html"))).select("page_id")
+    mark = F.get(F.array(*map(F.lit, _MARKS)), (F.col("page_id") % 4).cast("int"))
+    shown = F.concat(F.rpad(F.substring("html", 1, 7000), 7000, " "), F.when(F.col("page_id") % 5 == 4, F.repeat(F.lit(" "), F.lit(1001))).otherwise(""), F.when(F.col("page_id") % 2 == 0, mark).otherwise(""))
+    return p.where(pages.blocked(shown)).select("page_id")
 
 
-@query("result_counts", "SELECT page_id, 0::BIGINT AS n FROM pages")
+@query("result_counts", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN 0 ELSE o_custkey END AS n FROM orders")
 def result_counts(spark, d):
-    return read(spark, d, "pages").select("page_id", pages.result_count(F.lit("nsa"), F.col("html")).alias("n"))
+    """Listings of three portals that state a customer's number, some in groups of three digits, and one without hits."""
+    k, n = F.col("o_orderkey") % 5, F.col("o_custkey")
+    spaced = F.when(n >= 1000, F.concat_ws("\u00a0", F.floor(n / 1000).cast("string"), F.lpad((n % 1000).cast("string"), 3, "0"))).otherwise(n.cast("string"))
+    source = F.when(k == 0, "ms").when(k == 1, "kio").otherwise("nsa")
+    html = F.when(k == 0, F.concat(F.lit('<div id="sorting"><span class="big_number">'), spaced, F.lit("</span></div>")))
+    html = html.when(k == 1, F.concat(F.lit("<p>Liczba znalezionych dokumentów: <b>"), spaced, F.lit("</b></p>"))).when(k == 4, "<p>Nie znaleziono orzeczeń spełniających podany warunek</p>")
+    html = html.otherwise(F.concat(F.lit("<div>Znaleziono "), spaced, F.lit(" orzeczeń</div>")))
+    return read(spark, d, "orders").select("o_orderkey", pages.result_count(source, html).alias("n"))
 
 
 @query("page_text")
@@ -526,25 +546,46 @@ def print_text(spark, d):
     return read(spark, d, "documents").select("doc_id", clean.clean_print_text(t, F.lit("Ustawa")).alias("text"))
 
 
-@query("web_text")
+@query("web_text", """SELECT doc_id, md5('Ustawa z dnia 1 maja 2020 r. o rzeczy' || chr(10) || array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]{2,}', ' ', 'g'))), lambda x: x <> ''), chr(10)) || chr(10) || '„Art. ' || doc_id || '.”') AS h FROM documents""")
 def web_text(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.md5(clean.clean_web_text(F.col("text"))).alias("h"))
+    """Each text between a heading that lacks spaces, page controls, a note and a quotation."""
+    head = "Spis treści\nUstawaz dnia 1 maja 2020 r.o rzeczy\n1) Minister Finansów kieruje działem administracji rządowej - finanse (Dz. U. z 2023 r. poz. 1).\n"
+    t = F.concat(F.lit(head), F.col("text"), F.lit("\n„\nArt. "), F.col("doc_id").cast("string"), F.lit(".\n”\nPokaż całość"))
+    return read(spark, d, "documents").select("doc_id", F.md5(clean.clean_web_text(t)).alias("h"))
+
 
+_FIRST, _LAST = ["Jan", "Anna Maria", "Łucja", "Żaneta"], ["Nowak", "Kowalska-Zych", "Ósmy"]
+_NAMED = "(" + str(_FIRST) + "[{k} % 4 + 1] || ' ' || " + str(_LAST) + "[{k} % 3 + 1])"
 
-@query("panel")
+
+def _person(k):
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
+    return F.concat_ws(" ", pick(_FIRST, 4), pick(_LAST, 3))
+
+
+@query("panel", f"SELECT doc_id, 'przewodniczący:' || {_NAMED.format(k='doc_id')} || '|protokolant:Ewa Mała|członek:' || {_NAMED.format(k='(doc_id + 1)')} || CASE WHEN doc_id % 2 = 0 THEN '|członek:Piotr Lis' ELSE '' END AS people FROM documents")
 def panel(spark, d):
-    t = F.concat(F.lit("Przewodniczący: Jan Kowalski\nCzłonkowie: Anna Nowak\n"), F.col("text"))
-    return read(spark, d, "documents").select("doc_id", F.size(fields.extract_panel(t)).alias("n"))
+    """Each text behind a head that names a chair, members on two lines and a clerk."""
+    more = F.when(F.col("doc_id") % 2 == 0, "\nPiotr Lis").otherwise(",")
+    t = F.concat(F.lit("WYROK\nPrzewodniczący: SSO "), _person(F.col("doc_id")), F.lit("\nCzłonkowie: SSR del. "), _person(F.col("doc_id") + 1), more, F.lit("\nProtokolant: Ewa Mała\npo rozpoznaniu sprawy\n"), F.col("text"))
+    people = F.transform(fields.extract_panel(t), lambda p: F.concat_ws(":", p["role"], p["name"]))
+    return read(spark, d, "documents").select("doc_id", F.array_join(people, "|").alias("people"))
 
 
-@query("clean_person", "SELECT s_suppkey, 'Jan Nowak' AS name FROM supplier")
+@query("clean_person", f"SELECT s_suppkey, CASE WHEN s_suppkey % 6 <> 5 THEN {_NAMED.format(k='s_suppkey')} END AS name FROM supplier")
 def clean_person(spark, d):
-    return read(spark, d, "supplier").select("s_suppkey", fields.clean_person(F.lit("SSO Jan Nowak (spr.)")).alias("name"))
+    """Names with titles, roles and signs; every sixth has no first name."""
+    k = F.col("s_suppkey")
+    title = F.get(F.array(*map(F.lit, ["SSO ", "sędzia  ", "dr hab. ", "", "Przewodnicząca: SSR del. ", "Protokolant "])), (k % 6).cast("int"))
+    raw = F.concat(title, F.when(k % 6 == 5, "Nowak").otherwise(_person(k)), F.lit(" (spr.)"))
+    return read(spark, d, "supplier").select("s_suppkey", fields.clean_person(raw).alias("name"))
 
 
-@query("export_text", f"{J} SELECT source, doc_id, replace(replace(signature, '/', '-'), ' ', '_') || '.txt' AS name FROM j")
+@query("export_text", f"""{J} SELECT source, doc_id, replace(replace(signature, '/', '-'), ' ', '_') || '.txt' AS name, md5('Sygnatura: ' || signature || chr(10) || 'Sąd: ' || court || chr(10) || 'Z dnia: ' || judgment_date || chr(10) || 'Rodzaj: ' || doc_type
+|| chr(10) || 'Skład: ' || judge || ' (sędzia)' || chr(10) || 'Hasła: ' || ['Emerytura', 'Renta', 'Kara umowna'][(n // 2) % 3 + 1] || ', ' || ['Emerytura pomostowa', 'Termin'][n % 2 + 1] || chr(10) || 'Podstawa prawna: ' || coalesce(legal_basis, '—') || chr(10) || chr(10)
+|| CASE WHEN n % 2 = 0 THEN 'SENTENCJA' || chr(10) || left(trim(full_text, ' ' || chr(10)), 200) ELSE 'UZASADNIENIE' || chr(10) || full_text END) AS h FROM j""")
 def export_text(spark, d):
-    return io.to_text(views.judgments(spark, d)).select("source", "doc_id", "name")
+    return io.to_text(views.judgments(spark, d)).select("source", "doc_id", "name", F.md5("text").alias("h"))
 
 
 @query("listing_rows", f"{J} SELECT source, doc_id, signature, '/orzeczenie/' || source || '/' || doc_id AS url FROM j")
@@ -564,10 +605,11 @@ def stream_upsert(spark, d):
 
 
 def queries() -> dict:
+    from . import portal  # noqa: F401  registers its queries here
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
-
-

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators import search
+from ..session import shared_folder
 
 COURTS = ["Sąd Rejonowy w Łodzi", "Sąd Okręgowy w Łodzi", "Sąd Apelacyjny w Krakowie", "Wojewódzki Sąd Administracyjny w Gdańsku"]
 BASES = ["art. 385 k.c.", "art. 204 § 2 kk", "art. 98 k.p.c.", None, "art. 2 Konstytucji RP"]
@@ -15,9 +19,9 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-def judgments(spark: SparkSession, d: str) -> DataFrame:
+def judgments(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Documents as judgments; neighbouring ids share a signature, court and mostly a date."""
-    rows = read(spark, d, "documents")
+    rows = read(spark, d, "documents") if rows is None else rows
     g = F.floor(F.col("doc_id") / 2)
     pick = lambda values, k: F.get(F.array(*[F.lit(v).cast("string") for v in values]), k.cast("int"))
     extra = F.when(g % 5 == 4, F.col("doc_id") % 2).otherwise(0)
@@ -38,6 +42,19 @@ def judgments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored token index of the judgments; written once for each application and folder."""
+    known = (spark.sparkContext.applicationId, d)
+    if known not in _INDEXES:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        search.write_index(search.postings(judgments(spark, d), F.col("full_text")), path)
+        _INDEXES[known] = path
+    return spark.read.schema("token string, source string, doc_id string, tf long, bucket int").parquet(_INDEXES[known])
+
+
 _PICK = lambda values, k: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][({k}) % {len(values)} + 1]"
 
 #: The same judgments as the first part of a WITH clause.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import filled
 from ..operators.tables import missing
 from ..schemas import KEY
+from ..session import cut
 
 _REFS = "map<string,array<struct<id:string>>>"
 ACT_JSON = (
@@ -69,9 +70,15 @@ def safe_name(c: Column) -> Column:
 
 
 def archive(rows: DataFrame, stored: DataFrame, path: str) -> DataFrame:
-    """IO7: judgments that the archive lacks, appended as JSON by source; returns their keys and file names."""
-    new = missing(rows, stored)
-    new.write.partitionBy("source").mode("append").json(path)
+    """IO7: judgments that the archive lacks, added as JSON by source; returns their keys and file names.
+
+    They go to a folder that is named by their keys and written whole, so a call that is repeated with the same
+    input writes the same folder again and adds nothing.
+    """
+    new = cut(missing(rows, stored))
+    mark = new.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*KEY)).alias("h")).first()
+    if mark.n:
+        new.write.partitionBy("source").mode("overwrite").json(f"{path.rstrip('/')}/batch={mark.n}-{mark.h & 0xFFFFFFFFFFFFFFFF:016x}")
     return new.select(*KEY, safe_name(F.col("doc_id")).alias("name"))
 
 
@@ -83,7 +90,7 @@ def to_text(rows: DataFrame) -> DataFrame:
     part = lambda label, c: F.when(filled(F.col(c)).isNotNull(), F.concat(F.lit(f"\n{label}\n"), F.col(c)))
     body = F.when(filled(F.col("sentencja")).isNull() & filled(F.col("uzasadnienie")).isNull(), part("TREŚĆ", "full_text"))
     text = F.concat_ws(
-        "\n", line("Sygnatura", shown("signature")), line("Sąd", shown("court")), line("Data orzeczenia", shown("judgment_date")), line("Rodzaj", shown("doc_type")),
+        "\n", line("Sygnatura", shown("signature")), line("Sąd", shown("court")), line("Z dnia", shown("judgment_date")), line("Rodzaj", shown("doc_type")),
         line("Skład", F.coalesce(filled(people), F.lit("—"))), line("Hasła", F.coalesce(filled(F.array_join("thematic", ", ")), F.lit("—"))), line("Podstawa prawna", shown("legal_basis")),
         part("SENTENCJA", "sentencja"), part("UZASADNIENIE", "uzasadnienie"), body,
     )

@@ -11,15 +11,15 @@ from lexspark.sources import io, pages
 from lexspark.streaming import jobs
 
 MS_LIST = """<div id="sorting"><span class="big_number">1&nbsp;3</span></div><div class="single_result"><h4><a href="/content/$N/15/1">IV  Ka 352/26</a></h4>
-<div class="title"><p>Data orzeczenia: 2 czerwca 2026</p><p>Data publikacji: 2026-06-10</p><p>Sąd Okręgowy w Łodzi</p><p>wyrok</p></div><div class="excerpt"><blockquote>a  <b>b</b></blockquote></div></div>"""
+<div class="title"><p>Data rozstrzygnięcia: 2 czerwca 2026</p><p>Data publikacji: 2026-06-10</p><p>Sąd Okręgowy w Łodzi</p><p>wyrok</p></div><div class="excerpt"><blockquote>a  <b>b</b></blockquote></div></div>"""
 NSA_LIST = """<div>Znaleziono 763 orzeczeń</div><table><tr><td><a href="/doc/759cc12522">I SA/Łd 269/26 - Wyrok WSA w Łodzi z 2026-08-27</a></td></tr>
 <tr><td>oddala <span>skargę</span></td></tr><tr><td><a href="/doc/226B5A6CD0">II FSK 1/26 - Postanowienie NSA z 2026-08-28</a><a href="/doc/226B5A6CD0">x</a></td></tr></table>"""
 KIO_LIST = """<p>Liczba znalezionych dokumentów: <b>34 065</b></p><div class="search-list-item"><a href="/Home/Details/77">x</a> Rodzaj dokumentu: wyrok Sygnatura: KIO 3192/26 Data wydania: 02-06-2026</div>"""
-MS_DETAILS = """<div id="content"><h2>IV Ka 352/26 - zarządzenie, uzasadnienie Sąd Okręgowy</h2><dl><dt>Sygnatura:<dd>IV Ka 352/26<dt>Sąd:</dt><dd>Sąd Okręgowy w Łodzi</dd><dt>Data orzeczenia</dt><dd>2 czerwca 2026</dd>
+MS_DETAILS = """<div id="content"><h2>IV Ka 352/26 - zarządzenie, uzasadnienie Sąd Okręgowy</h2><dl><dt>Sygnatura:<dd>IV Ka 352/26<dt>Sąd:</dt><dd>Sąd Okręgowy w Łodzi</dd><dt>Data rozstrzygnięcia</dt><dd>2 czerwca 2026</dd>
 <dt>Przewodniczący</dt><dd>SSO Jan Kowalski</dd><dt>Protokolant</dt><dd>Ewa Mała</dd><dt>Hasła tematyczne</dt><dd>Apelacja, Kara</dd><dt>Podstawa prawna</dt><dd>art. 1 kk</dd></dl></div>"""
 MS_CONTENT = """<div id="content"><h2>t</h2><div class="single_wrapper"><div class="single_result"><ul class="tabs"><li>tab</li></ul><p>Sąd orzeka, co następuje:<br>oddala apelację w całości.</p><p>UZASADNIENIE</p><p>Bo&nbsp;<b>tak</b>.</p><script>x</script></div></div></div>"""
 NSA_DOC = """<title>I SA/Łd 269/26 - Wyrok WSA w Łodzi z 2026-08-27</title><table>
-<tr><td class="info-list-label">Data orzeczenia</td><td class="info-list-value">2026-08-27 orzeczenie nieprawomocne</td></tr><tr><td class="info-list-label">Sąd</td><td class="info-list-value">Wojewódzki Sąd Administracyjny w Łodzi</td></tr>
+<tr><td class="info-list-label">Data rozstrzygnięcia</td><td class="info-list-value">2026-08-27 orzeczenie nieprawomocne</td></tr><tr><td class="info-list-label">Sąd</td><td class="info-list-value">Wojewódzki Sąd Administracyjny w Łodzi</td></tr>
 <tr><td class="info-list-label">Sędziowie</td><td class="info-list-value">Jan Kowalski /przewodniczący/Anna Nowak /sprawozdawca/Piotr Zych</td></tr><tr><td class="info-list-label">Hasła tematyczne</td><td class="info-list-value">Podatki<br>Opłaty</td></tr>
 <tr><td><span class="info-list-label">Sentencja</span><div class="info-list-value-uzasadnienie"><p>Wojewódzki Sąd oddala skargę.</p></div></td></tr><tr><td><span class="info-list-label">Uzasadnienie</span><div class="info-list-value-uzasadnienie">Powody.</div></td></tr></table>"""
 KIO_DETAILS = """<div id="pageContent"><h2 class="section-title">KIO 3192/26</h2><div class="details-metrics"><div><label>Rodzaj dokumentu:</label> wyrok</div><div><label>Przewodniczący:</label><p>Jan Kowalski</p></div>
