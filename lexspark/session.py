@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir``; a local folder only where that is not set, as in tests."""
+    """``spark.checkpoint.dir``; a local folder only where that is not set in a local session, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
