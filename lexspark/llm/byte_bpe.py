@@ -116,39 +116,44 @@ class Encoder:
     def cuts(self, texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of each cut, and whether it may stand before another when encoded."""
         data, offs = texts.data, texts.offsets
-        begin = np.unique(offs[:-1][np.diff(offs) > 0])
+        begin = offs[:-1][np.diff(offs) > 0]
         if not len(begin):
             none = np.zeros(0, np.int64)
             return none, none, none, none.astype(bool)
         space = X._SPACE[data]
         blank = space | self._odd(data)
-        start = np.union1d(begin, np.flatnonzero(space[1:] & ~blank[:-1]) + 1)
+        first = np.zeros(len(data), bool)
+        first[1:] = space[1:] & ~blank[:-1]
+        first[begin] = True
+        start = np.flatnonzero(first)
         end = np.append(start[1:], len(data))
         return start, end, X.doc_of(texts, start), space[start] & ~blank[end - 1]
 
     def _add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, loose: np.ndarray) -> np.ndarray:
         """Encode cuts and remember them; returns their entries. Loose cuts follow each other in one text; the others stand alone."""
-        ids: list = [None] * len(start)
-        at = np.flatnonzero(loose)
+        at, rest = np.flatnonzero(loose), np.flatnonzero(~loose)
+        order = np.concatenate([at, rest])
+        size = (end - start)[order]
+        raw = data[np.repeat(start[order] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        ids, counts = [], []
         if len(at):
-            joined = b"".join(data[start[i] : end[i]].tobytes() for i in at).decode("utf-8", "replace")
-            got = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.int64)
-            edges = np.searchsorted(np.cumsum(self.size[got]), np.cumsum(end[at] - start[at]), "left") + 1
-            for i, part in zip(at, np.split(got, edges[:-1]), strict=True):
-                ids[i] = part
-        rest = np.flatnonzero(~loose)
+            upto = np.cumsum(size[: len(at)])
+            joined = raw[: upto[-1]].tobytes().decode("utf-8", "replace")
+            ids.append(np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.int64))
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.size[ids[0]]), upto, "left") + 1, prepend=0))
         if len(rest):
             texts = [data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in rest]
-            for i, e in zip(rest, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                ids[i] = np.array(e.ids, np.int64)
-        raw = np.concatenate([data[a:b] for a, b in zip(start, end, strict=True)])
-        new = np.concatenate(ids).astype(np.uint32)
-        row = np.stack([np.array([len(x) for x in ids]), end - start], axis=1).astype(np.int64)
-        rows = np.stack([self.n_flat + np.cumsum(row[:, 0]) - row[:, 0], row[:, 0], self.n_raw + np.cumsum(row[:, 1]) - row[:, 1], row[:, 1]], axis=1)
-        self.flat, self.n_flat = _put(self.flat, self.n_flat, new)
+            alone = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids += alone
+            counts.append(np.array([len(x) for x in alone]))
+        n = np.concatenate(counts).astype(np.int64)
+        rows = np.stack([self.n_flat + np.cumsum(n) - n, n, self.n_raw + np.cumsum(size) - size, size], axis=1)
+        self.flat, self.n_flat = _put(self.flat, self.n_flat, np.concatenate(ids).astype(np.uint32))
         self.raw, self.n_raw = _put(self.raw, self.n_raw, raw)
         self.known, self.n = _put(self.known, self.n, rows)
-        return self.n - len(rows) + np.arange(len(rows))
+        entries = np.empty(len(order), np.int64)
+        entries[order] = self.n - len(rows) + np.arange(len(rows))
+        return entries
 
     def cut_entries(self, texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The remembered entry, the document and the start of each cut."""

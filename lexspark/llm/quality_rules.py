@@ -66,8 +66,9 @@ def statistics(t: X.Texts) -> dict[str, np.ndarray]:
     line_hash = X.sequence_hash(found.hash, nth, len(first))
 
     # Raw lines, with their white space, compared with earlier ones of the document.
-    edges = np.unique(np.concatenate([t.offsets, feeds, feeds + 1]))
-    edges = edges[edges <= len(t.data)]
+    edge = np.zeros(len(t.data) + 2, bool)
+    edge[t.offsets], edge[feeds], edge[feeds + 1], edge[-1] = True, True, True, False
+    edges = np.flatnonzero(edge)
     slot = np.searchsorted(edges, found.start[first], "right") - 1
     raw = X.span_hash(t.data, edges[slot], edges[slot + 1]) if len(first) else line_hash
     raw = X.mix(raw + line_doc.astype(X.U64) * X.U64(0x9E3779B97F4A7C15))
