@@ -88,13 +88,14 @@ def tree(rows: DataFrame) -> DataFrame:
     total is the number of distinct documents of the root and its children: (root, document) pairs are
     made distinct first, so a root with very many documents is spread over tasks.
     """
-    # The vocabulary is small beside the documents; it is written so that its self-joins read a table.
-    named = cut(with_umbrellas(cut(counts(rows))))
+    # Terms are normalised once. The vocabulary is small beside the documents; it is written so that its self-joins read a table.
+    pairs = cut(terms(rows))
+    named = cut(with_umbrellas(pairs.groupBy("name").agg(F.count("*").alias("count"))))
     root = cut(roots(cut(parents(named))))
     sized = named.join(root, "name")
     kids = sized.where("name <> root").groupBy("root").agg(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), "name", "count"))).alias("kids"))
     kids = kids.select("root", F.transform("kids", lambda k: F.struct(k["name"].alias("name"), k["count"].alias("count"))).alias("children"))
-    found = terms(rows).join(root, "name").select("root", *KEY).distinct().groupBy("root").agg(F.count("*").alias("total"))
+    found = pairs.join(root, "name").select("root", *KEY).distinct().groupBy("root").agg(F.count("*").alias("total"))
     out = sized.where("name = root").select("name", "count", "root").join(found, "root", "left").join(kids, "root", "left")
     empty = F.array().cast("array<struct<name:string,count:bigint>>")
     return out.select("name", "count", F.coalesce("total", F.lit(0)).alias("total"), index_letter(F.col("name")).alias("letter"), F.coalesce("children", empty).alias("children"))
