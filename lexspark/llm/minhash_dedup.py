@@ -52,7 +52,7 @@ def prob_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int,
         np.minimum.at(best, slot, now)
         first = best[slot] == now
         won[slot[first]] = item[active[first]]
-        alive = np.unique(doc[active])
+        alive = np.flatnonzero(np.bincount(doc[active], minlength=n))
         latest = np.full(n, -np.inf)
         latest[alive] = best.reshape(n, registers)[alive].max(axis=1)
         active = active[now < latest[doc[active]]]
@@ -181,10 +181,12 @@ def _early(members: DataFrame, hubs: DataFrame, texts: DataFrame, labels: DataFr
     items = materialise(items, "items")
     # Shingles of one class lead to no other; they only use up weight.
     marks = items.groupBy("item", "hub").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    common = marks.groupBy(F.col("item").alias("_i")).agg(F.sum("n").alias("rank"), (F.min("low") != F.max("high")).alias("open"))
+    common = marks.groupBy(F.col("item").alias("_i")).agg(F.sum("n").alias("rank"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # Written first, so that the join below is dealt by itself and a shingle of very many groups can be split.
+    common = materialise(common.where("low <> high").select("_i", "rank"), "common")
     sizes = named.groupBy(F.col("hub").alias("_h")).agg(F.count("*").alias("size"))
-    marks = marks.join(common, F.col("item") == F.col("_i")).join(sizes, F.col("hub") == F.col("_h"))
-    marks = marks.select(F.col("item").alias("_i"), F.col("hub").alias("_h"), "rank", "open", (2 * F.col("n") > F.col("size")).alias("inside"))
+    marks = marks.select("item", "hub", "n").join(common, F.col("item") == F.col("_i"), "left").join(sizes, F.col("hub") == F.col("_h"))
+    marks = marks.select(F.col("item").alias("_i"), F.col("hub").alias("_h"), F.coalesce("rank", F.lit(0)).alias("rank"), F.col("rank").isNotNull().alias("open"), (2 * F.col("n") > F.col("size")).alias("inside"))
     rows = items.join(materialise(marks, "marks"), (F.col("item") == F.col("_i")) & (F.col("hub") == F.col("_h")))
     order = [F.desc("rank"), F.desc("item")]
     upto = lambda *by: F.sum(F.when(F.col("open"), F.col("share")).otherwise(0.0)).over(Window.partitionBy("key").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))

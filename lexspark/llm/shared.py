@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the whole cluster shares (``spark.checkpoint.dir``).
 
-    A machine-local folder is chosen only where that setting is missing, as in tests.
+    A machine-local folder is chosen only where that setting is missing in a local session, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
