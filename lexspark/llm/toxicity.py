@@ -156,22 +156,31 @@ class Landmarks:
 
     def forget(self) -> None:
         self.seen, self.slot = np.zeros(0, X.U64), np.zeros(0, np.int32)
-        self.known = np.zeros((0, len(self.words)), np.float32)
+        #: Kernel values of the near words that aren't 0: the landmark and value of each, and where a word's begin.
+        self.cols, self.vals, self.start = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "slot", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "slot", "cols", "vals", "start")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.forget()
 
     def near(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the words that are near a landmark, and their kernel values (0 for a cosine below ``CUT``).
+        """Index of the words that are near a landmark, and their kernel values with all landmarks."""
+        word, col, value = self.pairs(found)
+        index, row = np.unique(word, return_inverse=True)
+        values = np.zeros((len(index), len(self.words)), np.float32)
+        values[row.ravel(), col] = value
+        return index, values
+
+    def pairs(self, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, landmark and kernel value of every pair that is near (a cosine of ``CUT`` or more), by word.
 
         A worker compares each distinct word once; it starts afresh after ``REMEMBERED`` words, which
         bounds memory and changes no result.
         """
-        if len(self.seen) > REMEMBERED or len(self.known) > REMEMBERED // 20:
+        if len(self.seen) > REMEMBERED or len(self.cols) > REMEMBERED:
             self.forget()
         key, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
         at = np.searchsorted(self.seen, key)
@@ -181,12 +190,17 @@ class Landmarks:
         if fresh.any():
             hot, values = self._compare(found.letters, found.start[first[fresh]], found.size[first[fresh]])
             slot = np.full(int(fresh.sum()), -1, np.int32)
-            slot[hot] = len(self.known) + np.arange(len(hot))
-            self.known = np.vstack([self.known, values])
+            slot[hot] = len(self.start) - 1 + np.arange(len(hot))
+            row, col = np.nonzero(values)
+            self.start = np.concatenate([self.start, len(self.cols) + np.cumsum(np.bincount(row, minlength=len(hot)))])
+            self.cols, self.vals = np.concatenate([self.cols, col.astype(np.int32)]), np.concatenate([self.vals, values[row, col]])
             self.seen, self.slot = np.insert(self.seen, at[fresh], key[fresh]), np.insert(self.slot, at[fresh], slot)
         which = self.slot[np.searchsorted(self.seen, key)][inverse.ravel()]
         index = np.flatnonzero(which >= 0)
-        return index, self.known[which[index]]
+        begin = self.start[which[index]]
+        size = self.start[which[index] + 1] - begin
+        pos = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+        return np.repeat(index, size), self.cols[pos], self.vals[pos]
 
     def _compare(self, letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the words are near a landmark, and their kernel values."""
@@ -211,16 +225,22 @@ class Landmarks:
         near = values.any(axis=1)
         return hot[near], values[near]
 
-    def sentences(self, t: X.Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Document and largest kernel values of each sentence with a word near a landmark."""
+    def sentences(self, t: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The document of each sentence with a word near a landmark; and sentence, landmark and largest kernel value, by sentence."""
         found = read_words(t)
+        none = np.zeros(0, np.int64)
         if not len(found.hash) or not self.words:
-            return np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
-        index, values = self.near(found)
-        if not len(index):
-            return index, values
-        edge = np.flatnonzero(np.append(True, np.diff(found.sentence[index]) != 0))
-        return found.doc[index[edge]], np.maximum.reduceat(values, edge)
+            return none, none, none, none.astype(np.float32)
+        word, col, value = self.pairs(found)
+        if not len(word):
+            return none, none, none, value
+        fresh = np.append(True, np.diff(found.sentence[word]) != 0)
+        doc = found.doc[word[fresh]]
+        key = (np.cumsum(fresh) - 1) * len(self.words) + col
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return doc, key[first] // len(self.words), key[first] % len(self.words), np.maximum.reduceat(value[order], first)
 
 
 @dataclass
@@ -236,8 +256,8 @@ class Model:
 
     def score(self, t: X.Texts) -> np.ndarray:
         best = np.full(t.n, self.bias)
-        doc, values = self.landmarks.sentences(t)
-        np.maximum.at(best, doc, self.margins(values))
+        doc, sentence, col, value = self.landmarks.sentences(t)
+        np.maximum.at(best, doc, np.bincount(sentence, self.weights[col] * value, minlength=len(doc)) + self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.level, -30, 30)))
 
 
@@ -318,12 +338,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE
         """The kernel values of every sentence near a landmark that aren't 0, and a row without any for each document."""
         for batch in batches:
             for t in X.slices(batch.column("text"), SLICE):
-                doc, values = marks.sentences(t)
+                doc, sentence, col, value = marks.sentences(t)
                 doc = np.concatenate([doc, np.arange(t.n)])
-                values = np.concatenate([values, np.zeros((t.n, m), np.float32)])
-                row, col = np.nonzero(values)
-                edges = pa.array(np.searchsorted(row, np.arange(len(doc) + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (col.astype(np.int16), values[row, col])]
+                edges = pa.array(np.searchsorted(sentence, np.arange(len(doc) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (col.astype(np.int16), value.astype(np.float32))]
                 kept = [batch.column(c).take(pa.array(doc + t.first)) for c in ("id", "y")]
                 yield pa.RecordBatch.from_arrays([*kept, *lists], names=["id", "y", "cols", "vals"])
 
