@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, byte_bpe, edit_counts, html_extract, minhash_dedup, mixing, quality_classifier, quality_rules, token_store, toxicity
+from . import ann_forest, byte_bpe, edit_counts, html_extract, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, token_store, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_byte_bpe": byte_bpe.query,
         "op9_edit_token_counts": edit_counts.query,
         "op10_quality_classifier": quality_classifier.query,
+        "op11_secret_scan": secret_scan.query,
     }
 
 
