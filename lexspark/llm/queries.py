@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, byte_bpe, edit_counts, html_extract, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, token_store, toxicity
+from . import ann_forest, byte_bpe, edit_counts, html_extract, lexical_search, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, token_store, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_edit_token_counts": edit_counts.query,
         "op10_quality_classifier": quality_classifier.query,
         "op11_secret_scan": secret_scan.query,
+        "op12_lexical_search": lexical_search.query,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.SQL,
         "op7_quality_rules": quality_rules.SQL,
+        "op12_lexical_search": lexical_search.SQL,
     }
