@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, byte_bpe, edit_counts, html_extract, lexical_search, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, token_store, toxicity
+from . import ann_forest, byte_bpe, edit_counts, hard_negatives, html_extract, lexical_search, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, token_store, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality_classifier": quality_classifier.query,
         "op11_secret_scan": secret_scan.query,
         "op12_lexical_search": lexical_search.query,
+        "op13_hard_negatives": hard_negatives.query,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.SQL,
         "op7_quality_rules": quality_rules.SQL,
         "op12_lexical_search": lexical_search.SQL,
+        "op13_hard_negatives": hard_negatives.SQL,
     }
