@@ -168,8 +168,11 @@ def classified(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def merged_hits(hits: DataFrame, order: str = "ord") -> DataFrame:
-    """MG8: in a listing, a ruling and its reasoning with an equal date become the ruling's hit, at the earlier place."""
-    key = ["signature", "court"]
+    """MG8: in a listing, a ruling and its reasoning with an equal date become the ruling's hit, at the earlier place.
+
+    Both are of one source: ids, signatures and courts of other sources are other hits.
+    """
+    key = list(GROUP)
     two = hits.dropna(subset=key).groupBy(*key).agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).where("n = 2")
     whole = F.struct(*hits.columns)
     a = hits.join(two, key).where(F.col(order) == F.col("low")).select(*key, whole.alias("a"))
@@ -182,5 +185,5 @@ def merged_hits(hits: DataFrame, order: str = "ord") -> DataFrame:
     both = both.withColumn("k", keep).withColumn("o", other).withColumn("p", F.least(f"a.{order}", f"b.{order}"))
     take = {order: F.col("p"), "excerpt": F.coalesce(filled(F.col("k.excerpt")), F.col("o.excerpt"))}
     fresh = both.select(*[take.get(c, F.col(f"k.{c}")).alias(c) for c in hits.columns])
-    gone = both.select(F.explode(F.array("a.doc_id", "b.doc_id")).alias("doc_id"))
-    return hits.join(gone, "doc_id", "left_anti").unionByName(fresh)
+    gone = both.select("source", F.explode(F.array("a.doc_id", "b.doc_id")).alias("doc_id"))
+    return hits.join(gone, ["source", "doc_id"], "left_anti").unionByName(fresh)

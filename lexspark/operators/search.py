@@ -7,7 +7,9 @@ buckets and row groups of the phrase's tokens are read, and no text.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +20,8 @@ from ..functions.text import tokens
 from ..schemas import KEY
 
 PAGE_SIZES, DEFAULT_PAGE = (20, 50, 100), 20
-#: Buckets of a stored index, by token; the postings of a bucket are dealt to so many files.
-BUCKETS, FILES = 64, 2
+#: Buckets of a stored index, by token, and the postings of one file.
+BUCKETS, POSTINGS_PER_FILE = 64, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -126,17 +128,23 @@ def postings(rows: DataFrame, column: Column, key: tuple[str, ...] = KEY) -> Dat
     return rows.select(*key, F.explode(tokens(column)).alias("token")).groupBy("token", *key).agg(F.count("*").alias("tf"))
 
 
-def write_index(index: DataFrame, path: str, buckets: int = BUCKETS, files: int = FILES, key: tuple[str, ...] = KEY) -> None:
-    """FT2: postings in folders by bucket of their token, sorted by token inside; a frequent token fills several files."""
-    bucket = F.pmod(F.crc32("token"), F.lit(buckets)).cast("int")
-    dealt = index.withColumn("bucket", bucket).repartition(buckets * files, "bucket", F.pmod(F.xxhash64(*key), F.lit(files)))
-    dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+def write_postings(index: DataFrame, path: str, key: Sequence[str] = KEY, buckets: int = BUCKETS, per_file: int = POSTINGS_PER_FILE, by: Sequence[str] = (), mode: str = "errorifexists") -> None:
+    """FT2: stored postings in folders by ``by`` and the bucket of their token, sorted by token inside.
+
+    Rows are ranged by bucket, token and a hash of the key into files of about ``per_file`` postings, so the number of
+    files follows the data, and a frequent token is dealt over as many of them as its postings need. ``index`` is a
+    written table: it is counted, sampled for the ranges, and read.
+    """
+    files = max(1, math.ceil(index.count() / per_file))
+    placed = index.withColumn("bucket", F.pmod(F.crc32("token"), F.lit(buckets)).cast("int")).withColumn("_salt", F.xxhash64(*key))
+    dealt = placed.repartitionByRange(files, *by, "bucket", "token", "_salt").sortWithinPartitions(*by, "bucket", "token").drop("_salt")
+    dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by, "bucket").parquet(path)
 
 
 def lookup(index: DataFrame, phrase: str, key: tuple[str, ...] = KEY, buckets: int = BUCKETS) -> DataFrame:
     """FT2: keys that have every token, with their rank, from the postings of these tokens only.
 
-    Of an index written by ``write_index`` only the tokens' buckets are read.
+    Of an index written by ``write_postings`` only the tokens' buckets are read.
     """
     wanted = query_tokens(phrase)
     found = index.where(F.col("token").isin(wanted)) if wanted else index.limit(0)
@@ -146,31 +154,69 @@ def lookup(index: DataFrame, phrase: str, key: tuple[str, ...] = KEY, buckets: i
     return by.where(F.col("n") == len(wanted)).drop("n")
 
 
-def ordering(q: Query, ranked: bool) -> list[Column]:
-    """SO1 with the key as the last tie-break; rows without the date come last."""
-    keys = [F.col(k).asc() for k in KEY]
-    date = F.col(date_column(q)).desc_nulls_last()
+def sort_terms(q: Query, ranked: bool) -> list[tuple[str, bool]]:
+    """SO1: columns of the order and whether each descends; the key breaks ties, nulls come last in every column."""
+    keys = [(k, False) for k in KEY]
+    date = (date_column(q), True)
     if ranked and q.sort == "relevance":
-        return [F.col("rank").desc(), date, *keys]
-    named = {
-        "date_desc": F.col("judgment_date").desc_nulls_last(),
-        "date_asc": F.col("judgment_date").asc_nulls_last(),
-        "pub_desc": F.col("publication_date").desc_nulls_last(),
-    }
+        return [("rank", True), date, *keys]
+    named = {"date_desc": ("judgment_date", True), "date_asc": ("judgment_date", False), "pub_desc": ("publication_date", True)}
     return [named.get(q.sort, date), *keys]
 
 
+def ordering(q: Query, ranked: bool) -> list[Column]:
+    """SO1 as columns to sort by."""
+    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in sort_terms(q, ranked)]
+
+
+def behind(terms: Sequence[tuple[str, bool]], last: Mapping) -> Column:
+    """TK1: rows that come after the row with the values ``last`` in the order of ``terms``."""
+    out, equal = F.lit(False), F.lit(True)
+    for c, down in terms:
+        v = last[c]
+        if v is not None:
+            v = F.lit(v)
+            out |= equal & ((F.col(c) < v if down else F.col(c) > v) | F.col(c).isNull())
+        equal &= F.col(c).eqNullSafe(v)
+    return out
+
+
+def page_after(rows: DataFrame, terms: Sequence[tuple[str, bool]], last: Mapping | None, size: int = DEFAULT_PAGE) -> DataFrame:
+    """TK1: the page behind a cursor (the order's values in the last row of the page before; none for the first).
+
+    Every page keeps ``size`` rows for each task, however far down it lies; an offset would sort all rows above it.
+    """
+    size = size if size in PAGE_SIZES else DEFAULT_PAGE
+    order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in terms]
+    return (rows if last is None else rows.where(behind(terms, last))).orderBy(*order).limit(size)
+
+
 def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = DEFAULT_PAGE) -> DataFrame:
     """TK1: one page; sizes other than the offered ones become the default."""
     size = size if size in PAGE_SIZES else DEFAULT_PAGE
     return rows.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
-def matches(rows: DataFrame, q: Query, text: Column, source: bool = True, substring: bool = False, index: DataFrame | None = None) -> DataFrame:
-    """FT1, FT4: all rows that match, with ``rank`` where there is a phrase. Rows without a text don't count."""
+def years(q: Query) -> Column:
+    """FI9 for tables in folders by year of judgment: the years that the bounds of the date leave."""
+    out = F.lit(True)
+    if q.date_field != "publication":
+        for bound, test in ((q.date_from, lambda y: F.col("judgment_year") >= y), (q.date_to, lambda y: F.col("judgment_year") <= y)):
+            if bound:
+                b = as_iso_date(F.lit(bound))
+                out &= b.isNull() | test(F.year(b))
+    return out
+
+
+def matches(rows: DataFrame, q: Query, text: Column, source: bool = True, substring: bool = False, index: DataFrame | None = None, key: Sequence[str] = KEY, buckets: int = BUCKETS) -> DataFrame:
+    """FT1, FT4: all rows that match, with ``rank`` where there is a phrase. Rows without a text don't count.
+
+    The folders of a table by year of judgment are pruned by the date's bounds.
+    """
     out = rows.where(criteria(q, source))
+    out = out.where(years(q)) if "judgment_year" in rows.columns else out
     if q.phrase.strip() and index is not None and not substring:
-        return out.join(lookup(index, q.phrase), list(KEY))
+        return out.join(lookup(index, q.phrase, key, buckets), list(key))
     if q.phrase.strip():
         test = has_substring(q.phrase, q.literal) if substring else has_tokens(text, q.phrase)
         out = out.where(test).withColumn("rank", F.lit(0.0) if substring else rank(text, q.phrase))

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators import acts, ingest, merge, reports, search, subject_index, tables
 from ..operators.search import Query
-from ..schemas import ACT_KEY, JUDGES, JUDGMENTS, KEY, SKIPPED
-from ..session import shared_folder
+from ..schemas import ACT_KEY, JUDGES, KEY
 from ..sources import pages
-from ..streaming import jobs
 from . import views
 from .queries import _FOUND, _PAIRS, _day, _now, _text, query
 from .views import A, J, S, read
@@ -104,21 +100,6 @@ def page_quality(spark, d):
     return ingest.quality(rows).select("doc_id", "reason", "permanent")
 
 
-@query("judgment_stream", f"""{J}, w AS (SELECT n, n % 2 = 1 AND (n // 2) % 7 <> 6 AS reasoning, (n // 2) % 5 <> 4 AND EXISTS (SELECT 1 FROM j b WHERE b.n = CASE WHEN j.n % 2 = 0 THEN j.n + 1 ELSE j.n - 1 END) AS paired FROM j)
-SELECT 'stored' AS state, count(*) AS n FROM w WHERE NOT reasoning UNION ALL SELECT 'held', count(*) FROM w WHERE reasoning AND NOT paired UNION ALL SELECT 'skipped', count(*) FROM w WHERE reasoning AND paired""")
-def judgment_stream(spark, d):
-    """The documents as a stream of judgments: how many are stored, wait for their ruling, and went into one."""
-    folder = f"{shared_folder(spark)}/judgments-{uuid.uuid4().hex}"
-    plain = spark.readStream.schema(read(spark, d, "documents").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/documents.parque[t]")
-    shaped = views.judgments(spark, d, plain)
-    empty = spark.createDataFrame([], JUDGMENTS)
-    stream = shaped.select(*[F.col(f.name) if f.name in shaped.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
-    stored, held, skipped = jobs.judgment_versions(spark, f"{folder}/stored"), jobs.Versions(spark, f"{folder}/held", JUDGMENTS), jobs.Versions(spark, f"{folder}/skipped", SKIPPED)
-    jobs.judgment_stream(stream, stored, held, skipped, f"{folder}/log", _now).awaitTermination()
-    count = lambda name, v: v.last().agg(F.count("*").alias("n")).select(F.lit(name).alias("state"), "n")
-    return count("stored", stored).unionByName(count("held", held)).unionByName(count("skipped", skipped))
-
-
 # -- search ------------------------------------------------------------------------------------
 _PAGE = "ORDER BY j.judgment_date DESC, source, doc_id LIMIT 50"
 

@@ -252,10 +252,18 @@ def orphans_held(spark, d):
     return merge.classified(j.where(odd), j.where(~odd)).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("merged_hits", f"""{J}, p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM j a JOIN j b ON a.signature = b.signature AND a.n % 2 = 0 AND b.n % 2 = 1 AND b.doc_type = 'uzasadnienie' AND (a.judgment_date = b.judgment_date OR a.publication_date = b.publication_date))
-SELECT doc_id, n AS ord FROM j WHERE doc_id NOT IN (SELECT y FROM p)""")
+@query("merged_hits", f"""{J}, h AS (SELECT s.source, (n % 40)::VARCHAR AS doc_id, n % 40 AS m, signature, court, judgment_date, publication_date, doc_type, n * 4 + CASE s.source WHEN 'ms' THEN 0 WHEN 'nsa' THEN 1 ELSE 2 END AS ord,
+  n // 40 AS listing FROM j, (VALUES ('ms'), ('nsa'), ('kio')) s(source) WHERE n < 40 OR s.source = 'ms' AND n >= 40),
+u AS (SELECT source || listing AS source, * EXCLUDE (source, listing) FROM h),
+p AS (SELECT a.source, a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.source = b.source AND a.signature = b.signature AND a.m % 2 = 0 AND b.m % 2 = 1 AND b.doc_type = 'uzasadnienie' AND (a.judgment_date = b.judgment_date OR a.publication_date = b.publication_date))
+SELECT source, doc_id, ord FROM u WHERE (source, doc_id) NOT IN (SELECT source, y FROM p)""")
 def merged_hits(spark, d):
-    return merge.merged_hits(views.judgments(spark, d).withColumn("ord", F.col("doc_id").cast("long"))).select("doc_id", "ord")
+    """Listings whose ids repeat between sources; three of them show the same signatures, courts and dates."""
+    n = F.col("doc_id").cast("long")
+    sources = F.when(n < 40, F.array(*map(F.lit, ["ms", "nsa", "kio"]))).otherwise(F.array(F.lit("ms")))
+    hits = views.judgments(spark, d).select("*", F.posexplode(sources).alias("at", "listed"))
+    hits = hits.withColumn("ord", n * 4 + F.col("at")).withColumn("source", F.concat("listed", F.floor(n / 40).cast("string"))).withColumn("doc_id", (n % 40).cast("string"))
+    return merge.merged_hits(hits).select("source", "doc_id", "ord")
 
 
 # -- subjects --------------------------------------------------------------------------------
@@ -593,19 +601,8 @@ def listing_rows(spark, d):
     return io.to_hit(views.judgments(spark, d)).select("source", "doc_id", "signature", "url")
 
 
-@query("stream_upsert", "SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, TIMESTAMP '2020-03-01 00:00:00' AS first_seen_at FROM orders GROUP BY o_custkey")
-def stream_upsert(spark, d):
-    """The orders table as a change feed: the last change of each customer wins."""
-    schema = read(spark, d, "orders").select("o_custkey", "o_orderkey").schema
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    state = jobs.Versions(spark, f"{folder}/state", "o_custkey long, o_orderkey long, first_seen_at timestamp, last_seen_at timestamp")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/orders.parque[t]")
-    jobs.upsert_stream(stream, state, f"{folder}/log", ("o_custkey",), "o_orderkey", _now).awaitTermination()
-    return state.last().select("o_custkey", "o_orderkey", "first_seen_at")
-
-
 def queries() -> dict:
-    from . import portal  # noqa: F401  registers its queries here
+    from . import portal, stored  # noqa: F401  register their queries here
 
     return dict(_Q)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators import search
-from ..session import shared_folder
+from ..session import cut, shared_folder
 
 COURTS = ["Sąd Rejonowy w Łodzi", "Sąd Okręgowy w Łodzi", "Sąd Apelacyjny w Krakowie", "Wojewódzki Sąd Administracyjny w Gdańsku"]
 BASES = ["art. 385 k.c.", "art. 204 § 2 kk", "art. 98 k.p.c.", None, "art. 2 Konstytucji RP"]
@@ -42,17 +42,25 @@ def judgments(spark: SparkSession, d: str, rows: DataFrame | None = None) -> Dat
     )
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
+_POSTING = "token string, source string, doc_id string, tf long, bucket int"
+
+
+def build_index(spark: SparkSession, d: str) -> DataFrame:
+    """A stored token index of the judgments, written anew."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.write_postings(cut(search.postings(judgments(spark, d), F.col("full_text"))), path)
+    return spark.read.schema(_POSTING).parquet(path)
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
-    """The stored token index of the judgments; written once for each application and folder."""
-    known = (spark.sparkContext.applicationId, d)
+    """The stored token index; written once for each application and state of the table's files."""
+    meta = read(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = meta.agg(F.count("*"), F.sum(F.crc32(F.concat_ws(" ", "file_path", "file_size", "file_modification_time")))).first()
+    known = (spark.sparkContext.applicationId, d, *state)
     if known not in _INDEXES:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        search.write_index(search.postings(judgments(spark, d), F.col("full_text")), path)
-        _INDEXES[known] = path
-    return spark.read.schema("token string, source string, doc_id string, tf long, bucket int").parquet(_INDEXES[known])
+        _INDEXES[known] = build_index(spark, d).inputFiles()[0].rsplit("/bucket=", 1)[0]
+    return spark.read.schema(_POSTING).parquet(_INDEXES[known])
 
 
 _PICK = lambda values, k: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][({k}) % {len(values)} + 1]"

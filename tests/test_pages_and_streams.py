@@ -5,10 +5,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from lexspark.schemas import ACTS, HITS, JUDGMENTS, RAW_PAGES, SKIPPED
+from lexspark.schemas import ACTS, HITS, JUDGMENTS, RAW_PAGES
 from lexspark.sources import html as H
 from lexspark.sources import io, pages
-from lexspark.streaming import jobs
+from lexspark.streaming import jobs, store
 
 MS_LIST = """<div id="sorting"><span class="big_number">1&nbsp;3</span></div><div class="single_result"><h4><a href="/content/$N/15/1">IV  Ka 352/26</a></h4>
 <div class="title"><p>Data rozstrzygnięcia: 2 czerwca 2026</p><p>Data publikacji: 2026-06-10</p><p>Sąd Okręgowy w Łodzi</p><p>wyrok</p></div><div class="excerpt"><blockquote>a  <b>b</b></blockquote></div></div>"""
@@ -106,7 +106,7 @@ def test_reasoning_waits_for_its_ruling(spark, tmp_path):
     t = lambda name: f"{tmp_path}/{name}"
     fields = judgment(spark).schema
     now = lambda: F.lit("2025-06-01 00:00:00").cast("timestamp")
-    stored, held, skipped = jobs.judgment_versions(spark, t("s")), jobs.Versions(spark, t("h"), judgment(spark).schema), jobs.Versions(spark, t("k"), SKIPPED)
+    stored, held, skipped = store.judgment_store(spark, t("s")), jobs.waiting(spark, t("h")), jobs.left_out(spark, t("k"))
 
     def feed(*rows):
         judgment(spark, *rows).coalesce(1).write.mode("append").parquet(t("in"))
@@ -121,7 +121,7 @@ def test_reasoning_waits_for_its_ruling(spark, tmp_path):
 
 
 def test_act_changes(spark, tmp_path):
-    state = jobs.Versions(spark, f"{tmp_path}/acts", ACTS)
+    state = store.act_store(spark, f"{tmp_path}/acts")
     schema = spark.createDataFrame([], ACTS).select("publisher", "year", "pos", "title", "changed_at").schema
 
     def feed(*rows):

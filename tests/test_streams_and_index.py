@@ -1,4 +1,4 @@
-"""Versions of streamed tables, the stored index and the fields of panels."""
+"""The stored index, the archive, rounds over sources and the fields of panels."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,27 +9,9 @@ from lexspark.sources import io
 from lexspark.streaming import jobs
 
 
-def test_a_missing_version_is_no_empty_table(spark, tmp_path):
-    v = jobs.Versions(spark, f"{tmp_path}/t", "source string, doc_id string, n int", parts=4)
-    rows = lambda *r: spark.createDataFrame(list(r), v.schema)
-    assert v.last().count() == 0 and v.newest() is None
-    v.write(rows(("a", "1", 1), ("a", "2", 1)), 0)
-    with pytest.raises(ValueError):
-        v.before(3)
-    one = rows(("a", "2", 2))
-    v.write(v.before(1, one).where("doc_id <> '2'").unionByName(one), 1, one)
-    assert {(r.doc_id, r.n) for r in v.last().collect()} == {("1", 1), ("2", 2)}
-    # The part without a key of the batch was not written again.
-    if v.touched(one) != v.touched(rows(("a", "1", 1))):
-        assert 0 in v.manifest(1).values()
-    gone = rows(("a", "1", 0))
-    v.write(v.before(2, gone).where("doc_id <> '1'"), 2, gone)
-    assert [r.doc_id for r in v.last().collect()] == ["2"]
-
-
 def test_a_stored_index_is_read_by_bucket(spark, tmp_path):
     df = spark.createDataFrame([("s", str(i), "the word " * (i % 3 + 1) + f"own{i}") for i in range(30)], "source string, doc_id string, full_text string")
-    search.write_index(search.postings(df, F.col("full_text")), f"{tmp_path}/i", buckets=8, files=2)
+    search.write_postings(search.postings(df, F.col("full_text")), f"{tmp_path}/i", buckets=8)
     index = spark.read.parquet(f"{tmp_path}/i")
     found = search.lookup(index, "THE word", buckets=8)
     plain = search.lookup(search.postings(df, F.col("full_text")), "THE word")
