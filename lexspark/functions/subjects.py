@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import squash
 
+# Quotation marks that may stand around a term.
 QUOTES = "\"'„”»«"
 # Acronyms kept in capitals.
 ACRONYMS = "oc ac ure uke zus krus rp ena krs nfz vat pit cit bhp sn nsa tk tsue ue pfron".split()
@@ -63,10 +64,11 @@ CANONICAL = {
 
 
 def _word(w: Column) -> Column:
-    core = F.btrim(w, F.lit(QUOTES + "().,;:-–—"))
-    letters = F.regexp_replace(core, r"[^\p{L}]", "")
-    capital = (F.length(letters) >= 2) & ((letters == F.upper(letters)) | F.lower(core).isin(*ACRONYMS))
-    return F.when(capital, F.replace(w, core, F.upper(core))).otherwise(F.lower(w))
+    """A word in small letters, but for acronyms: those of the list and words of two and more capitals only."""
+    small, bare = F.lower(w), F.regexp_replace(w, r"\P{L}", "")
+    shouted = bare.rlike(r"^\p{Lu}{2,}$")
+    listed = F.btrim(small, F.lit(QUOTES + "().,;:-–—")).isin(*ACRONYMS)
+    return F.when(shouted | listed, F.upper(w)).otherwise(small)
 
 
 def normalize_thematic(c: Column) -> Column:

@@ -145,3 +145,10 @@ def test_sources_fail_alone():
 
     runs = jobs.isolated({"ms": lambda: 0, "nsa": bad})
     assert runs == [("ms", "ok", 0, ""), ("nsa", "blad", 0, "down")] and jobs.wants_backlog(runs) and not jobs.wants_backlog(runs, "nsa")
+
+
+def test_labels_of_dates():
+    dates = ["data orzeczenia", "Data wydania: 02-06-2026", "Data wydania rozstrzygnięcia:", "data wpływu", "data publikacji", "data zamówienia", "data", ""]
+    assert [pages._ruling_date(x) for x in dates] == [True, True, True, False, False, False, False, False]
+    assert pages._labelled("Rodzaj dokumentu: wyrok Sygnatura: KIO 1/20", ("Sygnatura", "Rodzaj dokumentu", "Data wydania")) == {"Rodzaj dokumentu": "wyrok", "Sygnatura": "KIO 1/20"}
+    assert pages._labelled("", ("Sygnatura",)) == {}
