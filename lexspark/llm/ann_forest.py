@@ -5,14 +5,17 @@ plane between two random vectors of its sample, at the median. Its size is bound
 may be broadcast. Below, where a fitted leaf holds more than ``LEAF`` indexed vectors, planes are drawn
 from the leaf's number, one for each further level, so depth follows the data and nothing else is sent.
 
-*Index.* Every vector is stored in one leaf of every tree. Equal vectors are one entry with their smallest
-ids, combined before the shuffle; no query needs more than k + 1 of them.
+*Index.* Every vector is stored in one leaf of every tree. Vectors are scaled by a power of two first, so that their
+largest component lies between 1/2 and 1: this changes no bit of a cosine, and multiples of a vector by powers of two
+become equal. Equal vectors are one entry with their smallest ids, combined before the shuffle; no query needs more
+than k + 1 of them.
 
 *Search.* A query descends all trees through one priority queue: whichever branch, of any tree, lies
 nearest across a plane is followed next, until the visited leaves hold ``VISIT`` of the forest's entries.
 Leaves are cut into blocks of at most ``BLOCK`` vectors and of queries, joined by leaf; each pair of
-blocks is one matrix product that keeps k + 1 entries for each query. The nearest of all blocks are scored
-once more, by sums in one order, so that a pair has the same score wherever it was met.
+blocks is one matrix product. Whatever comes within ``NEAR`` of a query's (k + 1)-th product is scored by sums in one order,
+so that a pair has the same score wherever it was met, and the k + 1 entries of the highest scores, equal ones by their
+smallest ids, are kept for each query and block, and then of all blocks.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
 
 TREES, SAMPLE, FIT_LEAF, LEAF, BLOCK, VISIT, SEED = 8, 16_384, 32, 128, 2048, 0.2, 5
+#: More than what a product of unit vectors and their score may differ by.
+NEAR = 1e-9
 
 
 class Forest:
@@ -88,6 +94,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, their largest magnitudes between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if x.size else x
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows, each by sums in one order."""
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
 def _vectors(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -105,13 +121,21 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
-    rows = materialise(rows.withColumn("key", F.xxhash64("x")), "vectors")
+    rows = materialise(rows, "vectors")
     sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return vectors.sparkSession.createDataFrame([], empty)
     dim = sizes.d
-    rows = rows.where(F.size("x") == dim)
+
+    def scaled(batches):
+        for batch in batches:
+            x = _scaled(_vectors(batch.column("x"))).reshape(batch.num_rows, dim)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), lists], names=["vec_id", "x"])
+
+    rows = rows.where(F.size("x") == dim).mapInArrow(scaled, "vec_id long, x array<double>")
+    rows = materialise(rows.withColumn("key", F.xxhash64("x")), "scaled")
 
     # Entries: distinct vectors with their k + 1 smallest ids, at first within each batch.
     def few(batches):
@@ -119,9 +143,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             f = pd.DataFrame({"key": batch.column("key").to_numpy(), "vec_id": batch.column("vec_id").to_numpy()})
             f = f.drop_duplicates().sort_values(["key", "vec_id"])
             f = f[f.groupby("key").cumcount() <= k]
-            first = ~f.key.duplicated()
             taken = batch.take(pa.array(f.index))
-            kept = pa.array([v if a else None for v, a in zip(taken.column("x").to_pylist(), first, strict=True)], taken.column("x").type)
+            kept = pc.if_else(pa.array(~f.key.duplicated().to_numpy()), taken.column("x"), pa.scalar(None, taken.column("x").type))
             yield pa.RecordBatch.from_arrays([taken.column("key"), taken.column("vec_id"), kept], names=["key", "vec_id", "x"])
 
     nth = Window.partitionBy("key").orderBy("vec_id")
@@ -160,8 +183,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                 r, c = np.nonzero(f == leaf)
                 part[r, c] = bits(int(leaf), u[r])[0]
             take = pa.array(np.repeat(np.arange(len(u)), f.shape[1]))
-            cols = [pa.array(f.ravel()), pa.array(part.ravel()), batch.column("key").take(take), batch.column("x").take(take)]
-            yield pa.RecordBatch.from_arrays(cols, names=["fit", "part", "key", "x"])
+            cols = [pa.array(f.ravel()), pa.array(part.ravel()), *[batch.column(c).take(take) for c in ("key", "low", "x")]]
+            yield pa.RecordBatch.from_arrays(cols, names=["fit", "part", "key", "low", "x"])
 
     def visits(batches):
         forest = sent.value
@@ -195,7 +218,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             take = pa.array(q[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array(q[:, 1]), pa.array(q[:, 2]), batch.column("vec_id").take(take), batch.column("x").take(take)], names=["fit", "part", "query_id", "qx"])
 
-    leaves = entries.select("key", "x").mapInArrow(index, "fit long, part long, key long, x array<double>")
+    leaves = entries.select("key", F.get("ids", 0).alias("low"), "x").mapInArrow(index, "fit long, part long, key long, low long, x array<double>")
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
     spread = max(1, vectors.sparkSession.sparkContext.defaultParallelism * 4)
     asked = queries.repartition(spread, "vec_id").mapInArrow(visits, "fit long, part long, query_id long, qx array<double>")
@@ -209,29 +232,22 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     def compare(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(q):
-            return pd.DataFrame({"query_id": [], "key": [], "near": []})
-        x, y = _unit(np.stack(a.x.to_numpy())), _unit(np.stack(q.qx.to_numpy()))
-        near = y @ x.T
-        few = min(k + 3, near.shape[1])
-        best = np.argpartition(-near, few - 1, axis=1)[:, :few]
-        return pd.DataFrame({"query_id": np.repeat(q.query_id.to_numpy(), few), "key": a.key.to_numpy()[best].ravel(), "near": np.take_along_axis(near, best, 1).ravel()})
+            return pd.DataFrame({"query_id": [], "key": [], "low": [], "score": []})
+        x, y = np.stack(a.x.to_numpy()), np.stack(q.qx.to_numpy())
+        near = _unit(y) @ _unit(x).T
+        few = min(k + 1, near.shape[1])
+        at_least = np.partition(near, near.shape[1] - few, axis=1)[:, near.shape[1] - few]
+        i, j = np.nonzero(near >= at_least[:, None] - NEAR)
+        out = pd.DataFrame({"query_id": q.query_id.to_numpy()[i], "key": a.key.to_numpy()[j], "low": a.low.to_numpy()[j], "score": _cosines(x[j], y[i])})
+        out = out.sort_values(["query_id", "score", "low"], ascending=[True, False, True])
+        return out[out.groupby("query_id").cumcount() <= k]
 
     by = ["fit", "part", "salt", "turn"]
-    met = left.select(*by, "key", "x").groupBy(*by).cogroup(right.select(*by, "query_id", "qx").groupBy(*by)).applyInPandas(compare, "query_id long, key long, near double")
-    met = met.groupBy("query_id", "key").agg(F.max("near").alias("near"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "key")
-    met = materialise(met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 3).drop("r", "near"), "met")
-
-    def exact(batches):
-        for batch in batches:
-            a, b = _vectors(batch.column("x")), _vectors(batch.column("qx"))
-            if len(a):
-                s = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(s)], names=["query_id", "ids", "score"])
-
-    asked_x = queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("qx"))
-    scored = met.join(entries, "key").join(asked_x, "query_id").select("query_id", "ids", "x", "qx").mapInArrow(exact, "query_id long, ids array<long>, score double")
-    scored = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    met = left.select(*by, "key", "low", "x").groupBy(*by).cogroup(right.select(*by, "query_id", "qx").groupBy(*by)).applyInPandas(compare, "query_id long, key long, low long, score double")
+    met = met.groupBy("query_id", "key", "low").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "low")
+    met = materialise(met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r", "low"), "met")
+    scored = met.join(entries.select("key", "ids"), "key").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -52,6 +52,20 @@ def test_edge_cases(spark):
     assert [(r.query_id, r.vec_id) for r in few] == [(0, 1)]
 
 
+def test_ties_of_scaled_vectors(spark):
+    """Equal scores go by id, however the vectors of one direction are scaled and dealt."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=8)
+    rows = [(1000 + i, (v * 2.0 ** (i % 11 - 5)).tolist()) for i in range(30)] + [(i, rng.normal(size=8).tolist()) for i in range(1, 200)]
+    rows += [(2000 + i, [3.0 * (1 + i % 7), 4.0 * (1 + i % 7)] + [0.0] * 6) for i in range(40)]
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 1000 == 0, visit=1.0).toPandas()
+    one = got[got.query_id == 1000].sort_values("rank")
+    assert one.vec_id.tolist() == [1001, 1002, 1003, 1004, 1005] and one.score.nunique() == 1
+    a = np.array(rows[-40][1])
+    exact = sorted((-float(A._cosines(np.array([x]), a[None])[0]), i) for i, x in rows if i != 2000)
+    assert got[got.query_id == 2000].sort_values("rank").vec_id.tolist() == [i for _, i in exact[:5]]
+
+
 def test_drawn_planes_below_fitted_leaves(spark, monkeypatch):
     monkeypatch.setattr(A, "SAMPLE", 64)
     monkeypatch.setattr(A, "LEAF", 32)
