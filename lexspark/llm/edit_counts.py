@@ -1,7 +1,10 @@
 """Token counts that follow edits: segment trees of counts over each document's pre-token blocks.
 
-A document is cut where white space follows a word; no token crosses such a place (see ``byte_bpe``). Runs
-of ``BLOCK`` cuts are the leaves of a segment tree that holds their numbers of tokens. An edit replaces a
+A document is cut into pre-tokens: where white space follows anything else (see ``byte_bpe``), and between letters,
+digits and signs, in any script of ``_LETTERS``. The tokenizer's own split has an end at each of these places, whatever
+stands before or after, so no token crosses one, and a piece between two of them has the same tokens alone as in its
+text. One very long pre-token, such as a line of letters without a sign, is a piece of its own. Runs
+of ``BLOCK`` pieces are the leaves of a segment tree that holds their numbers of tokens. An edit replaces a
 span of characters: only the blocks it touches are cut and encoded again, with one block of context on
 either side so that words which the edit joins or splits come out as in the whole text, and the sums on
 the way to the root are updated. The blocks after an edit are dealt evenly to the leaves that held them
@@ -24,7 +27,13 @@ BLOCK = 16
 _WHITE = " \t\n\x0b\x0c\r"
 #: White space and separators of other kinds: a place after one is no cut (see ``byte_bpe``).
 _OTHER = "\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_TURN = re.compile(f"(?<=[^{_WHITE}{_OTHER}])(?=[{_WHITE}])")
+# Classes of the split pattern, as far as all versions of Unicode agree on them: Latin, Cyrillic, CJK, kana and Hangul letters; ASCII
+# digits; ASCII and CJK signs. An apostrophe may begin a piece but not end one, as 's and 'll are pre-tokens.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_SIGNS = r"!-&(-/:-@\[-`{-~\u3001\u3002\u3008-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+_TURN = re.compile(
+    f"(?<=[^{_WHITE}{_OTHER}])(?=[{_WHITE}])|(?<=[{_LETTERS}])(?=[0-9'{_SIGNS}])|(?<=[0-9])(?=[{_LETTERS}'{_SIGNS}])|(?<=[{_SIGNS}])(?=[{_LETTERS}0-9])"
+)
 
 
 class EditableCount:

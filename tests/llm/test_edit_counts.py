@@ -11,12 +11,17 @@ P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
 
 
-def test_edits_count_as_whole_texts():
+PROSE = ["the ", "of", " ", "\n", "\n\n", "żółć", "it's", "123 ", "!!", "", "word", "   ", "\u2003", "漢字 "]
+#: Pieces without white space, in several scripts and at the edges of the classes of the split.
+DENSE = ["漢字かな", "カナ。", "，한글", "1,2", "(a)", "'", "''s", "don't'll", "Ж7", "é9", "x", "~", "²", "½", "\u0301", "ª", "_a", " 's", "«»", "٣", "ß"]
+
+
+@pytest.mark.parametrize("pieces", [PROSE, DENSE])
+def test_edits_count_as_whole_texts(pieces):
     e = B.Encoder(PATH)
     whole = lambda t: len(e.tokenizer.encode(t, add_special_tokens=False).ids)
     counter = lambda bs: [n for t in X.slices(pa.array(bs, pa.large_string())) for n in e.encode(t)[1].tolist()]
     rng = random.Random(5)
-    pieces = ["the ", "of", " ", "\n", "\n\n", "żółć", "it's", "123 ", "!!", "", "word", "   ", " ", "漢字 "]
     for _ in range(150):
         text = "".join(rng.choices(pieces[:-2], k=rng.choice([0, 1, 5, 400])))
         tree = C.EditableCount(text, counter)
@@ -24,11 +29,27 @@ def test_edits_count_as_whole_texts():
         for _ in range(8):
             a = rng.randint(0, len(text))
             b = min(len(text), a + rng.choice([0, 0, 1, 3, 60]))
-            new = "".join(rng.choices(pieces, [9] * 12 + [1, 3], k=rng.choice([0, 1, 4])))
+            new = "".join(rng.choices(pieces, [9] * (len(pieces) - 2) + [1, 3], k=rng.choice([0, 1, 4])))
             text = text[:a] + new + text[b:]
             assert tree.replace(a, b, new) == whole(text) and tree.text() == text
 
 
+@pytest.mark.parametrize("part", ["漢字仮名交文，日本語文章。", "12,345,", "слово-слово;"])
+def test_texts_without_white_space(part):
+    """Fifty edits of a long text encode less than the text once."""
+    e = B.Encoder(PATH)
+    counter = lambda bs: [n for t in X.slices(pa.array(bs, pa.large_string())) for n in e.encode(t)[1].tolist()]
+    text = part * (48_000 // len(part))
+    tree = C.EditableCount(text, counter)
+    built = tree.encoded
+    for i in range(50):
+        at = 900 * i + 7
+        tree.replace(at, at + 5, "新x7")
+        text = text[:at] + "新x7" + text[at + 5 :]
+    assert tree.text() == text and tree.total == len(e.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert tree.encoded - built < len(text)
+
+
 def test_an_edit_encodes_little():
     e = B.Encoder(PATH)
     counter = lambda bs: [n for t in X.slices(pa.array(bs, pa.large_string())) for n in e.encode(t)[1].tolist()]
