@@ -264,6 +264,51 @@ def suggest(values: DataFrame, column: str, text: str, n: int = 8) -> DataFrame:
     return found.select(column).distinct().orderBy(column).limit(n)
 
 
+def grams(column: Column) -> Column:
+    """FI11, TK2: the distinct runs of three characters of a text in small letters; null has none."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def gram_postings(rows: DataFrame, columns: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
+    """Postings of the runs of three characters of some columns: ``token``, key, ``tf`` 1, ready for ``write_postings``."""
+    found = F.array_distinct(F.flatten(F.array(*[grams(F.col(c)) for c in columns])))
+    return rows.select(*key, F.explode(found).alias("token"), F.lit(1).cast("long").alias("tf"))
+
+
+def asked_grams(text: str, literal: bool = False) -> list[str]:
+    """Runs of three characters that every match of the pattern holds: those between its wildcards."""
+    import re
+
+    parts = [" ".join(text.split())] if literal else re.split(r"[%_\\]", " ".join(text.split()))
+    return sorted({p[i : i + 3] for p in map(str.lower, parts) for i in range(len(p) - 2)})
+
+
+def gram_candidates(index: DataFrame, text: str, literal: bool = False, key: Sequence[str] = KEY, buckets: int = BUCKETS) -> DataFrame | None:
+    """Keys of rows that may hold the text: those with all its runs. None for a text without a run, which any row may hold."""
+    wanted = asked_grams(text, literal)
+    if not wanted:
+        return None
+    found = index.where(F.col("token").isin(wanted))
+    if "bucket" in index.columns:
+        found = found.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % buckets for t in wanted})))
+    return found.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).drop("n")
+
+
+def search_grams(rows: DataFrame, index: DataFrame, text: str, columns: tuple[str, ...] = ("full_text", "signature", "sentencja"), literal: bool = False, key: Sequence[str] = KEY, buckets: int = BUCKETS) -> DataFrame:
+    """FI11, FI4, FI6 without a scan of all texts: candidates by their runs of three characters, each then tested as a whole.
+
+    ``index`` covers all of ``columns``; runs found in different columns only make a candidate more.
+    """
+    few = gram_candidates(index, text, literal, key, buckets)
+    return (rows if few is None else rows.join(few, list(key), "left_semi")).where(has_substring(text, literal, columns))
+
+
+def suggest_grams(values: DataFrame, index: DataFrame, column: str, text: str, n: int = 8, buckets: int = BUCKETS) -> DataFrame:
+    """TK2 on the distinct values of a column and the index of their runs (key: the column)."""
+    few = gram_candidates(index, text.strip(), True, (column,), buckets) if len(text.strip()) >= 2 else None
+    return suggest(values if few is None else values.join(few, column, "left_semi"), column, text, n)
+
+
 def any_term(rows: DataFrame, terms: list[str]) -> DataFrame:
     """FI12: rows whose legal basis contains any of the terms."""
     test = F.lit(False)

@@ -101,6 +101,36 @@ def tree(rows: DataFrame) -> DataFrame:
     return out.select("name", "count", F.coalesce("total", F.lit(0)).alias("total"), index_letter(F.col("name")).alias("letter"), F.coalesce("children", empty).alias("children"))
 
 
+def numbered(documents: DataFrame, batch: int) -> DataFrame:
+    """Keys of a batch's new documents with a number of their own; numbers of one task follow each other, so bitmaps are dense.
+
+    The rows are written, so a document keeps its number whatever is computed from it.
+    """
+    return cut(documents.select(*KEY).distinct().withColumn("number", F.monotonically_increasing_id() + F.lit(batch).cast("long") * (1 << 53)))
+
+
+def branch_bitmaps(pairs: DataFrame) -> DataFrame:
+    """AG10, TH6: ``root``, ``bucket``, ``bits``: the documents of each root as bitmaps, of pairs (root, number), repeated or not.
+
+    Bits are set in the tasks that hold the pairs, so what is shuffled are bitmaps, and no root is counted in one task.
+    """
+    placed = pairs.select("root", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
+    return placed.groupBy("root", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def merged_bitmaps(*batches: DataFrame) -> DataFrame:
+    """Bitmaps of several batches as one table: exact whatever documents the batches share."""
+    out = batches[0]
+    for b in batches[1:]:
+        out = out.unionByName(b)
+    return out.groupBy("root", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def branch_totals(bitmaps: DataFrame) -> DataFrame:
+    """Distinct documents of each root."""
+    return bitmaps.groupBy("root").agg(F.sum(F.bitmap_count("bits")).alias("total"))
+
+
 def renormalisation(rows: DataFrame) -> DataFrame:
     """AG11: ``stat`` and ``n``: rows with terms, rows whose terms change, distinct terms before and after."""
     new = canonical_terms(F.col("thematic"))

@@ -8,14 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import search, subject_index, tables
 from ..operators.search import Query
-from ..schemas import JUDGMENTS, KEY
-from ..session import shared_folder
+from ..schemas import JUDGMENTS, KEY, RUNS
+from ..session import cut, shared_folder
+from ..sources import pages
 from ..streaming import jobs, store
 from . import views
 from .queries import _day, _text, query
-from .views import J, read
+from .views import J, S, read
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -155,3 +156,114 @@ def judgment_stream(spark, d):
     out = stored.last().select(F.lit("stored").alias("state"), *KEY, F.md5("full_text").alias("h"), F.col("first_seen_at").alias("seen"))
     out = out.unionByName(held.last().select(F.lit("held").alias("state"), *KEY, F.md5("full_text").alias("h"), F.lit(None).cast("timestamp").alias("seen")))
     return out.unionByName(skipped.last().select(F.lit("skipped").alias("state"), *KEY, F.lit(None).cast("string").alias("h"), F.col("skipped_at").alias("seen")))
+
+
+@query("stream_once_each", """WITH b AS (SELECT o_custkey AS k, CASE WHEN o_orderdate < DATE '1997-06-01' THEN 0 WHEN o_orderdate < DATE '1999-06-01' THEN 1 ELSE 2 END AS wave, min(o_orderdate::TIMESTAMP + to_seconds(o_custkey::INT)) AS t FROM orders GROUP BY 1, 2),
+wm AS (SELECT max(t) FILTER (wave = 0) - INTERVAL 400 DAY AS w1, max(t) FILTER (wave <= 1) - INTERVAL 400 DAY AS w2 FROM b),
+e0 AS (SELECT k, t FROM b WHERE wave = 0),
+e1 AS (SELECT b.k, b.t FROM b CROSS JOIN wm LEFT JOIN e0 ON e0.k = b.k AND e0.t + INTERVAL 400 DAY > w1 WHERE wave = 1 AND b.t > w1 AND e0.k IS NULL),
+s1 AS (SELECT k, max(t) AS t FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1) GROUP BY k),
+e2 AS (SELECT b.k, b.t FROM b CROSS JOIN wm LEFT JOIN s1 ON s1.k = b.k AND s1.t + INTERVAL 400 DAY > w2 WHERE wave = 2 AND b.t > w2 AND s1.k IS NULL)
+SELECT k AS o_custkey, t AS seen_at FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2)""")
+def stream_once_each(spark, d):
+    """SM5: customers listed again in three batches; repeats within 400 days of an item are dropped, later ones come again."""
+    folder = _folder(spark, "once")
+    o = read(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"))
+    wave = F.when(F.col("day") < "1997-06-01", 0).when(F.col("day") < "1999-06-01", 1).otherwise(2)
+    at = F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col("o_custkey"))
+    rows = cut(o.groupBy("o_custkey", wave.alias("wave")).agg(F.min(at).alias("seen_at")))
+    kept = rows.drop("wave")
+
+    def start(n):
+        stream = jobs.once_each(spark.readStream.schema(kept.schema).parquet(f"{folder}/in"), "seen_at", "400 days", ("o_custkey",))
+        return stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+
+    fed([rows.where(F.col("wave") == n).drop("wave") for n in range(3)], f"{folder}/in", start)
+    return spark.read.schema(kept.schema).parquet(f"{folder}/out")
+
+
+@query("watched_sources", f"""{J}, w AS (SELECT source, count(*) FILTER (n % 4 <> 3 AND n % 2 = 0) AS a, count(*) FILTER (n % 4 <> 3 AND n % 2 = 1) AS b, count(*) FILTER (n % 4 = 3) AS late FROM j GROUP BY source)
+SELECT 0 AS round, source, CASE source WHEN 'kio' THEN 'blad' ELSE 'ok' END AS status, CASE source WHEN 'kio' THEN 0 ELSE a END AS seen, CASE source WHEN 'kio' THEN 0 ELSE a END AS added FROM w
+UNION ALL SELECT 1, source, 'ok', CASE source WHEN 'ms' THEN a WHEN 'nsa' THEN b ELSE a + b END, CASE source WHEN 'ms' THEN 0 WHEN 'nsa' THEN b ELSE a + b END FROM w
+UNION ALL SELECT 1, 'ms:backlog', 'ok', late, late FROM w WHERE source = 'ms'""")
+def watched_sources(spark, d):
+    """SM7, SM8, AG13: two rounds over three sources: one fails and catches up, one brings known rows only and goes on with its backlog."""
+    folder, n = _folder(spark, "watched"), F.col("doc_id").cast("long")
+    rows = whole(spark, views.judgments(spark, d))
+    kept = {s: jobs.by_source(spark, f"{folder}/{s}-kept", "source string, doc_id string") for s in ("ms", "nsa", "kio")}
+    broken = {"kio"}
+
+    def taker(source):
+        def take(df, batch):
+            if source in broken:
+                raise ValueError("portal down")
+            keys = df.select(*KEY).distinct()
+            new = cut(tables.missing(keys, kept[source].rows()))
+            kept[source].replace(new, new)
+            return new.count()
+
+        return take
+
+    def feed(source, part, name):
+        rows.where((F.col("source") == source) & part).select(*KEY).write.mode("append").parquet(f"{folder}/{source}-{name}")
+
+    def sources():
+        kinds = rows.select(*KEY).schema
+        stream = lambda s, name: spark.readStream.schema(kinds).parquet(f"{folder}/{s}-{name}")
+        return {s: jobs.Source(stream(s, "new"), taker(s), stream(s, "late")) for s in kept}
+
+    for s in kept:
+        feed(s, (n % 4 != 3) & (n % 2 == 0), "new")
+        feed(s, n % 4 == 3, "late")
+    made = jobs.watched(spark, sources(), f"{folder}/log", f"{folder}/runs").withColumn("round", F.lit(0))
+    broken.clear()
+    feed("ms", (n % 4 != 3) & (n % 2 == 0), "new")
+    for s in ("nsa", "kio"):
+        feed(s, (n % 4 != 3) & (n % 2 == 1), "new")
+    made = made.unionByName(jobs.watched(spark, sources(), f"{folder}/log", f"{folder}/runs").withColumn("round", F.lit(1)))
+    written = spark.read.schema(RUNS).parquet(f"{folder}/runs")
+    # The rows of both rounds are those of the stored runs table.
+    return made.join(written.select("source", "started_at"), ["source", "started_at"]).select("round", "source", "status", F.col("seen").cast("long").alias("seen"), F.col("added").cast("long").alias("added"))
+
+
+# -- mergeable totals, substrings, pages by size ------------------------------------------------------
+@query("branch_totals", f"""{S}, c AS (SELECT name FROM s GROUP BY name UNION ALL SELECT 'Koszty' WHERE (SELECT count(DISTINCT name) FROM s WHERE name LIKE 'Koszty %') >= 2),
+r AS (SELECT name, CASE WHEN split_part(name, ' ', 1) IN (SELECT name FROM c) THEN split_part(name, ' ', 1) ELSE name END AS root FROM c)
+SELECT root, count(DISTINCT (source, doc_id)) AS total FROM r JOIN s USING (name) GROUP BY root""")
+def branch_totals(spark, d):
+    """AG10, TH6: bitmaps of three batches, the last of which repeats documents of the first two, merged."""
+    pairs = cut(subject_index.terms(views.subjects(spark, d)))
+    named = cut(subject_index.with_umbrellas(pairs.groupBy("name").agg(F.count("*").alias("count"))))
+    roots = cut(subject_index.roots(cut(subject_index.parents(named))))
+    k = F.col("doc_id").cast("long") % 3
+    numbers = subject_index.numbered(pairs.where(k < 2), 0).unionByName(subject_index.numbered(pairs.where(k == 2), 1))
+    found = pairs.join(roots, "name").join(numbers, list(KEY))
+    batches = [subject_index.branch_bitmaps(found.where(part)) for part in (k == 0, k == 1, k != 1)]
+    return subject_index.branch_totals(subject_index.merged_bitmaps(*batches))
+
+
+@query("substring_index", f"{J} SELECT source, doc_id FROM j WHERE full_text ILIKE '%tion the%' OR signature ILIKE '%tion the%' UNION ALL SELECT source, 's' || doc_id FROM j WHERE signature ILIKE '%c 1_/2%'")
+def substring_index(spark, d):
+    """FI11, FI4: a phrase in the texts and a signature with a wildcard, by the index of runs of three characters."""
+    j = views.judgments(spark, d)
+    path = _folder(spark, "grams")
+    search.write_postings(cut(search.gram_postings(j, ("full_text", "signature"))), path)
+    index = spark.read.schema("token string, source string, doc_id string, tf long, bucket int").parquet(path)
+    texts = search.search_grams(j, index, "tion  the", ("full_text", "signature")).select(*KEY)
+    return texts.unionByName(search.search_grams(j, index, "C 1_/2", ("signature",)).select("source", F.concat(F.lit("s"), "doc_id").alias("doc_id")))
+
+
+@query("suggest_index", "SELECT DISTINCT p_name FROM part WHERE contains(lower(p_name), 'izm') ORDER BY p_name LIMIT 8")
+def suggest_index(spark, d):
+    """TK2 by the index of runs of three characters of the distinct values."""
+    names, path = cut(read(spark, d, "part").select("p_name").distinct()), _folder(spark, "names")
+    search.write_postings(cut(search.gram_postings(names, ("p_name",), ("p_name",))), path, ("p_name",))
+    index = spark.read.schema("token string, p_name string, tf long, bucket int").parquet(path)
+    return search.suggest_grams(names, index, "p_name", " IZM")
+
+
+@query("pages_dealt", "SELECT page_id, url, md5(html) AS h FROM pages")
+def pages_dealt(spark, d):
+    """PA1, PA7: every page once, whatever task it was dealt to."""
+    rows = read(spark, d, "pages").select(F.lit("ms").alias("source"), F.lit("content").alias("kind"), F.col("page_id").cast("string").alias("doc_id"), "page_id", "url", "html")
+    return pages.dealt(rows, parts=16).select("page_id", "url", F.md5("html").alias("h"))

@@ -165,3 +165,37 @@ def test_seeking_equals_offsets(spark, q):
         pages.append([r.doc_id for r in got])
     want = [[r.doc_id for r in search.page(rows, search.ordering(q, ranked), n).collect()] for n in range(1, 8)]
     assert pages == want
+
+
+def test_pages_are_dealt_by_size(spark):
+    from lexspark.sources import pages
+
+    rows = spark.range(2000).select(F.lit("ms").alias("source"), F.lit("content").alias("kind"), F.col("id").cast("string").alias("doc_id"), F.repeat(F.lit("x"), F.when(F.col("id") < 6, 20_000).when(F.col("id") < 40, 3_000).otherwise(F.lit(100) + F.col("id") % 300).cast("int")).alias("html"))
+    rows = rows.repartitionByRange(8, "doc_id").unionByName(rows.where("doc_id = '7'").withColumn("html", F.lit(None).cast("string")))
+    got = pages.dealt(rows, parts=20).select("doc_id", F.length("html").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert len(got) == 2001
+    loads = {}
+    for r in got:
+        loads[r.task] = loads.get(r.task, 0) + (r.n or 0)
+    ordered = sorted(loads.values())
+    assert 20 <= len(ordered) <= 30 and ordered[-1] < 2 * ordered[len(ordered) // 2]
+    assert pages.dealt(rows.limit(0)).count() == 0
+
+
+def test_bitmaps_of_batches_merge(spark):
+    from lexspark.operators import subject_index as S
+
+    pairs = spark.range(0, 100_000, 7).select(F.concat(F.lit("r"), F.col("id") % 3).alias("root"), F.col("id").alias("number"))
+    parts = [pairs.where("number < 60000"), pairs.where("number > 30000"), pairs.limit(0)]
+    got = {r.root: r.total for r in S.branch_totals(S.merged_bitmaps(*map(S.branch_bitmaps, parts))).collect()}
+    assert got == {r.root: r.n for r in pairs.groupBy("root").agg(F.count_distinct("number").alias("n")).collect()}
+
+
+@pytest.mark.parametrize("text, literal", [("ab_c", False), ("a%b", False), ("B C", False), ("żół", False), ("a_b", True), ("xy", False), ("%", False), ("100%", True)])
+def test_substrings_by_index(spark, tmp_path, text, literal):
+    values = ["abXc", "ab_c", "a then b", "b  c", "b c d", "ŻÓŁĆ", "a_b", "xy", None, "", "100% of", "1000 of", "bc"]
+    rows = spark.createDataFrame([("s", str(i), v, v and v[::-1], None) for i, v in enumerate(values)], "source string, doc_id string, full_text string, signature string, sentencja string")
+    search.write_postings(search.gram_postings(rows, ("full_text", "signature", "sentencja")), f"{tmp_path}/g", buckets=3)
+    index = spark.read.schema("token string, source string, doc_id string, tf long, bucket int").parquet(f"{tmp_path}/g")
+    want = sorted(r.doc_id for r in rows.where(search.has_substring(text, literal)).collect())
+    assert sorted(r.doc_id for r in search.search_grams(rows, index, text, literal=literal, buckets=3).collect()) == want
