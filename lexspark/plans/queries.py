@@ -602,7 +602,7 @@ def listing_rows(spark, d):
 
 
 def queries() -> dict:
-    from . import portal, stored  # noqa: F401  register their queries here
+    from . import portal, saved, stored  # noqa: F401  register their queries here
 
     return dict(_Q)
 
