@@ -205,6 +205,6 @@ def test_a_database_is_read_in_ranges(spark, tmp_path):
     from lexspark.sources import io
 
     url = f"jdbc:derby:{tmp_path}/db"
-    spark.range(100).select(F.col("id").alias("n"), F.concat(F.lit("x"), "id").alias("s")).coalesce(1).write.option("driver", "org.apache.derby.jdbc.EmbeddedDriver").jdbc(f"{url};create=true", "rows")
-    got = io.read_jdbc(spark, url, "rows", "n", 0, 100, 4)
+    spark.range(100).select(F.col("id").alias("n"), F.concat(F.lit("x"), "id").alias("s")).coalesce(1).write.option("driver", "org.apache.derby.jdbc.EmbeddedDriver").jdbc(f"{url};create=true", "stored")
+    got = io.read_jdbc(spark, url, "stored", "n", 0, 100, 4)
     assert got.rdd.getNumPartitions() == 4 and sorted(r.s for r in got.collect()) == sorted(f"x{i}" for i in range(100))
