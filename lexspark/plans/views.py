@@ -46,21 +46,24 @@ _INDEXES: dict[tuple, str] = {}
 _POSTING = "token string, source string, doc_id string, tf long, bucket int"
 
 
+def _state(spark: SparkSession, d: str) -> tuple:
+    """What the stored index depends on: the application, the folder and the files of its table."""
+    meta = read(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return (spark.sparkContext.applicationId, d, *meta.agg(F.count("*"), F.sum(F.crc32(F.concat_ws(" ", "file_path", "file_size", "file_modification_time")))).first())
+
+
 def build_index(spark: SparkSession, d: str) -> DataFrame:
-    """A stored token index of the judgments, written anew."""
+    """A stored token index of the judgments, written anew; later searches take it."""
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     search.write_postings(cut(search.postings(judgments(spark, d), F.col("full_text"))), path)
+    _INDEXES[_state(spark, d)] = path
     return spark.read.schema(_POSTING).parquet(path)
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
     """The stored token index; written once for each application and state of the table's files."""
-    meta = read(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    state = meta.agg(F.count("*"), F.sum(F.crc32(F.concat_ws(" ", "file_path", "file_size", "file_modification_time")))).first()
-    known = (spark.sparkContext.applicationId, d, *state)
-    if known not in _INDEXES:
-        _INDEXES[known] = build_index(spark, d).inputFiles()[0].rsplit("/bucket=", 1)[0]
-    return spark.read.schema(_POSTING).parquet(_INDEXES[known])
+    known = _INDEXES.get(_state(spark, d))
+    return spark.read.schema(_POSTING).parquet(known) if known else build_index(spark, d)
 
 
 _PICK = lambda values, k: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][({k}) % {len(values)} + 1]"
