@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators import search, subject_index, tables
 from ..operators.search import Query
-from ..schemas import JUDGMENTS, KEY, RUNS
+from ..schemas import ACT_KEY, ACTS, JUDGMENTS, KEY, RUNS
 from ..session import cut, shared_folder
 from ..sources import pages
 from ..streaming import jobs, store
 from . import views
 from .queries import _day, _text, query
-from .views import J, S, read
+from .views import A, J, S, read
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -126,6 +126,28 @@ def stream_upsert(spark, d):
     return table.last()
 
 
+@query("act_changes", f"""{A}, w AS (SELECT *, CASE WHEN pos % 5 = 0 THEN 2 WHEN pos % 2 = 0 THEN 1 ELSE 0 END AS last FROM a)
+SELECT publisher, year, pos, CASE last WHEN 2 THEN 'po zmianie 2' ELSE title END AS title, md5(CASE last WHEN 2 THEN full_text WHEN 1 THEN 'nowy tekst ' || pos ELSE full_text END) AS h,
+TIMESTAMP '2020-03-01' AS first_seen_at, TIMESTAMP '2020-03-01' + to_days(last) AS last_seen_at, CASE WHEN last = 1 THEN 2 WHEN last = 2 AND pos % 2 = 0 THEN 4 ELSE 0 END AS version FROM w""")
+def act_changes(spark, d):
+    """SM3, UP3: the acts' change feed in three batches: all, then new texts, then new titles beside the first texts; two changes of an act in one batch."""
+    folder = _folder(spark, "acts")
+    kinds = spark.createDataFrame([], ACTS).drop("first_seen_at", "last_seen_at").schema
+    shaped = lambda rows: rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields])
+    a = views.acts(spark, d).withColumn("changed_at", F.lit("2020-01-01"))
+    texts = a.where("pos % 2 = 0").withColumn("full_text", F.concat(F.lit("nowy tekst "), F.col("pos").cast("string"))).withColumn("changed_at", F.lit("2020-01-02"))
+    titles = a.where("pos % 5 = 0").withColumn("title", F.lit("po zmianie 1")).withColumn("changed_at", F.lit("2020-01-03"))
+    titles = titles.unionByName(titles.withColumns({"title": F.lit("po zmianie 2"), "changed_at": F.lit("2020-01-04")}))
+    acts = store.act_store(spark, f"{folder}/acts")
+
+    def start(n):
+        return jobs.act_changes(spark.readStream.schema(kinds).parquet(f"{folder}/in"), acts, f"{folder}/log", lambda: _at(n))
+
+    fed([shaped(a), shaped(texts), shaped(titles)], f"{folder}/in", start)
+    versions = acts.records.rows().select(*ACT_KEY, "version")
+    return acts.last().join(versions, list(ACT_KEY)).select(*ACT_KEY, "title", F.md5("full_text").alias("h"), "first_seen_at", "last_seen_at", "version")
+
+
 # Reasonings (odd ids) come before their rulings where the pair's number is a multiple of three, rulings of others first.
 # The last batch brings every fourth pair's ruling again, with another text.
 _WAVE = "CASE WHEN (n % 2 = 1) = (g % 3 = 0) THEN 0 ELSE 1 END"
