@@ -131,11 +131,12 @@ def postings(rows: DataFrame, column: Column, key: tuple[str, ...] = KEY) -> Dat
 def write_postings(index: DataFrame, path: str, key: Sequence[str] = KEY, buckets: int = BUCKETS, per_file: int = POSTINGS_PER_FILE, by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """FT2: stored postings in folders by ``by`` and the bucket of their token, sorted by token inside.
 
-    Rows are ranged by bucket, token and a hash of the key into files of about ``per_file`` postings, so the number of
-    files follows the data, and a frequent token is dealt over as many of them as its postings need. ``index`` is a
-    written table: it is counted, sampled for the ranges, and read.
+    Rows are ranged by bucket, token and a hash of the key into files of at most about ``per_file`` postings, so the number
+    of files follows the data, and a frequent token is dealt over as many of them as its postings need. Few postings
+    are ranged into as many tasks as run at once, but no more than there are buckets, which have files of their own anyway.
+    ``index`` is a written table: it is counted, sampled for the ranges, and read.
     """
-    files = max(1, math.ceil(index.count() / per_file))
+    files = max(math.ceil(index.count() / per_file), min(buckets, index.sparkSession.sparkContext.defaultParallelism), 1)
     placed = index.withColumn("bucket", F.pmod(F.crc32("token"), F.lit(buckets)).cast("int")).withColumn("_salt", F.xxhash64(*key))
     dealt = placed.repartitionByRange(files, *by, "bucket", "token", "_salt").sortWithinPartitions(*by, "bucket", "token").drop("_salt")
     dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by, "bucket").parquet(path)
