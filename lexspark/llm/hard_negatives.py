@@ -15,7 +15,7 @@ rows. A row matters to
 What a task has found in earlier blocks raises these floors for the later ones. Scores are sums of integers and exact.
 
 Anchors are taken in blocks of at most ``ANCHORS``, sent to all tasks; a block makes two scans, one for the positives and
-one for the windows that they define. Blocks of rows never meet each other, rows of one label or of equal vectors are
+one for the windows that they define, and its rows are written before the next block starts. Blocks of rows never meet each other, rows of one label or of equal vectors are
 spread over all blocks, and of each task only the best few rows of each anchor or window are shuffled.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import in_turns, materialise
 
 BLOCK, ANCHORS, STEPS = 4096, 4096, (4, 8, 16, 32)
 POSITIVES, NEGATIVES = 5, 10
@@ -237,7 +237,6 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, id_col: str = "ve
     are fewer; positives whose score is negative have no window. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
-    empty = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     blocks = vertical(vectors, is_anchor, id_col, vector_col, label)
 
     def chosen(batches):
@@ -250,22 +249,25 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, id_col: str = "ve
 
     anchors = materialise(blocks.mapInArrow(chosen, "row long, id long, label long, x binary"), "anchors")
     turns = math.ceil(anchors.count() / ANCHORS)
-    out = spark.createDataFrame([], empty)
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    for turn in range(turns):
-        # Dealt by hash: about ANCHORS of them.
-        some = Anchors(anchors.where(F.pmod(F.xxhash64("row"), F.lit(turns)) == turn).toArrow())
-        sent = spark.sparkContext.broadcast(some)
-        near = _positives(blocks, sent, positives).collect()  # at most ``positives`` rows for each anchor of the turn
-        windows = defaultdict(list)
-        for p in near:
-            low, high = -((-lowest * p.score) // 100), (highest * p.score) // 100
-            if low <= high:
-                windows[p.anchor].append((p.n, low, high))
-        named = spark.createDataFrame([(p.anchor, p.n, int(some.id[p.anchor]), p.id, p.score) for p in near], "anchor int, window int, a long, p long, positive_score long")
-        met = _negatives(blocks, sent, dict(windows), negatives).join(named, ["anchor", "window"])
-        out = out.unionByName(met.select(back("a").alias("anchor_id"), back("p").alias("positive_id"), F.col("rank").cast("int").alias("rank"), back("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))
-    return out
+
+    def found():
+        for turn in range(turns):
+            # Dealt by hash: about ANCHORS of them.
+            some = Anchors(anchors.where(F.pmod(F.xxhash64("row"), F.lit(turns)) == turn).toArrow())
+            sent = spark.sparkContext.broadcast(some)
+            near = _positives(blocks, sent, positives).collect()  # at most ``positives`` rows for each anchor of the turn
+            windows = defaultdict(list)
+            for p in near:
+                low, high = -((-lowest * p.score) // 100), (highest * p.score) // 100
+                if low <= high:
+                    windows[p.anchor].append((p.n, low, high))
+            named = spark.createDataFrame([(p.anchor, p.n, int(some.id[p.anchor]), p.id, p.score) for p in near], "anchor int, window int, a long, p long, positive_score long")
+            met = _negatives(blocks, sent, dict(windows), negatives).join(named, ["anchor", "window"])
+            yield met.select(back("a").alias("anchor_id"), back("p").alias("positive_id"), F.col("rank").cast("int").alias("rank"), back("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+            sent.destroy()
+
+    return in_turns(spark, found(), "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long", "mined")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

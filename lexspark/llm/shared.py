@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_turns(spark: SparkSession, turns: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+    """The rows of all ``turns``, each written to the shared folder before the next one is made.
+
+    The result is one table of files, so its plan and what the driver holds don't grow with the number of
+    turns, and a lost executor costs no turn that is written. No turns give an empty table.
+    """
+    path, n = scratch_path(spark, name), 0
+    empty = spark.createDataFrame([], schema)
+    for n, rows in enumerate(turns, 1):
+        rows.select(*empty.columns).write.parquet(f"{path}/turn={n}")
+    return spark.read.schema(empty.schema).parquet(path).select(*empty.columns) if n else empty
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
