@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch_path
+from .shared import in_turns, scratch_path
 
 K, WIDTH = 50, 1 << 20
 BLOCK_ITEMS, BLOCK_TERMS = 2_000, 100_000
@@ -290,19 +290,22 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, width: int = WIDTH) ->
     pairs = spark.read.schema("item_id long, term binary").parquet(f"{path}/asked")
     n_items, n_terms = pairs.agg(F.count_distinct(F.coalesce("item_id", F.lit(_NULL))), F.count("*")).first()
     blocks = max(math.ceil(n_items / BLOCK_ITEMS), math.ceil(n_terms / BLOCK_TERMS))
-    out = spark.createDataFrame([], "item_id long, doc_id long, score long")
-    for b in range(blocks if n_docs else 0):
-        # One block's terms: bounded, as items are dealt to blocks by hash.
-        mine = pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        known = [tuple(r) for r in vocabulary.join(F.broadcast(mine), "term").select("item_id", "term", "df").collect()]
-        if not known:
-            continue
-        sent = spark.sparkContext.broadcast(Block([(i, bytes(t), df) for i, t, df in known], n_docs, length, width))
-        thresholds = _thresholds(index, _largest_bounds(index, sent, k), sent, k)
-        out = out.unionByName(_rescored(index, sent, thresholds, k))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+    def found():
+        for b in range(blocks if n_docs else 0):
+            # One block's terms: bounded, as items are dealt to blocks by hash. All rows of an item are in its block.
+            mine = pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+            known = [tuple(r) for r in vocabulary.join(F.broadcast(mine), "term").select("item_id", "term", "df").collect()]
+            if not known:
+                continue
+            sent = spark.sparkContext.broadcast(Block([(i, bytes(t), df) for i, t, df in known], n_docs, length, width))
+            thresholds = _thresholds(index, _largest_bounds(index, sent, k), sent, k)
+            ranked = _rescored(index, sent, thresholds, k).withColumn("rank", F.row_number().over(best).cast("int"))
+            yield ranked.where(F.col("rank") <= k)
+            sent.destroy()
+
+    return in_turns(spark, found(), "item_id long, rank int, doc_id long, score long", "ranked")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
