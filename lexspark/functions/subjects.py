@@ -71,20 +71,29 @@ def _word(w: Column) -> Column:
     return F.when(shouted | listed, F.upper(w)).otherwise(small)
 
 
-def normalize_thematic(c: Column) -> Column:
-    """SC15: squashed, without outer quotes, in lower case but for acronyms and the first letter, one name for variants."""
-    text = squash(F.btrim(squash(c), F.lit(QUOTES)))
-    words = F.array_join(F.transform(F.split(text, " "), _word), " ")
+def _capital(words: Column) -> Column:
+    """The first letter in upper case, wherever it stands."""
     first = r"(?s)^(\P{L}*)(\p{L})(.*)$"
     part = lambda k: F.regexp_extract(words, first, k)
-    name = F.when(words.rlike(first), F.concat(part(1), F.upper(part(2)), part(3))).otherwise(words)
+    return F.when(words.rlike(first), F.concat(part(1), F.upper(part(2)), part(3))).otherwise(words)
+
+
+def _normalized(terms: Column) -> Column:
+    """SC15 for each term of an array. Every step is a pass of its own over the array, so that none is worked out again for each mention in the next."""
     table = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(name)), name)
+    text = F.transform(terms, lambda t: squash(F.btrim(squash(t), F.lit(QUOTES))))
+    words = F.transform(text, lambda t: F.array_join(F.transform(F.split(t, " "), _word), " "))
+    return F.transform(F.transform(words, _capital), lambda name: F.coalesce(F.try_element_at(table, F.lower(name)), name))
+
+
+def normalize_thematic(c: Column) -> Column:
+    """SC15: squashed, without outer quotes, in lower case but for acronyms and the first letter, one name for variants."""
+    return F.get(_normalized(F.array(c)), F.lit(0))
 
 
 def canonical_terms(c: Column) -> Column:
     """SC17: every term normalised, empty ones dropped, the first of equal ones kept."""
-    named = F.transform(F.coalesce(c, F.array().cast("array<string>")), normalize_thematic)
+    named = _normalized(F.coalesce(c, F.array().cast("array<string>")))
     return F.array_distinct(F.filter(named, lambda x: x != ""))
 
 
