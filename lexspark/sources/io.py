@@ -82,13 +82,17 @@ def archive(rows: DataFrame, stored: DataFrame, path: str) -> DataFrame:
     return new.select(*KEY, safe_name(F.col("doc_id")).alias("name"))
 
 
-def to_text(rows: DataFrame) -> DataFrame:
-    """IO8: a plain-text export of each judgment and its file name; missing values are shown as a dash."""
+def to_text(rows: DataFrame, empty: bool = False) -> DataFrame:
+    """IO8: a plain-text export of each judgment and its file name; missing values are shown as a dash.
+
+    With ``empty`` a part whose text is empty keeps its heading; without, it is left out as a null one.
+    """
     shown = lambda c: F.coalesce(filled(F.col(c).cast("string")), F.lit("—"))
     line = lambda label, c: F.concat(F.lit(f"{label}: "), c)
     people = F.array_join(F.transform(F.coalesce("judges", F.array().cast("array<struct<name:string,role:string,note:string>>")), lambda j: F.concat(j["name"], F.lit(" ("), F.coalesce(j["role"], F.lit("—")), F.lit(")"))), ", ")
-    part = lambda label, c: F.when(filled(F.col(c)).isNotNull(), F.concat(F.lit(f"\n{label}\n"), F.col(c)))
-    body = F.when(filled(F.col("sentencja")).isNull() & filled(F.col("uzasadnienie")).isNull(), part("TREŚĆ", "full_text"))
+    said = lambda c: F.col(c) if empty else filled(F.col(c))
+    part = lambda label, c: F.when(said(c).isNotNull(), F.concat(F.lit(f"\n{label}\n"), F.col(c)))
+    body = F.when(said("sentencja").isNull() & said("uzasadnienie").isNull(), part("TREŚĆ", "full_text"))
     text = F.concat_ws(
         "\n", line("Sygnatura", shown("signature")), line("Sąd", shown("court")), line("Z dnia", shown("judgment_date")), line("Rodzaj", shown("doc_type")),
         line("Skład", F.coalesce(filled(people), F.lit("—"))), line("Hasła", F.coalesce(filled(F.array_join("thematic", ", ")), F.lit("—"))), line("Podstawa prawna", shown("legal_basis")),

@@ -34,3 +34,7 @@ def equal(spark, path, name, tables=("documents",)):
 
 def test_completed_records(spark, odd):
     equal(spark, odd, "completed_records")
+
+
+def test_export_text(spark, odd):
+    equal(spark, odd, "export_text")
