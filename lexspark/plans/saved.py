@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..operators import search, subject_index, tables
 from ..schemas import ACT_KEY, KEY, RUNS
-from ..session import shared_folder
+from ..session import cut, shared_folder
 from ..sources import io, pages
 from . import views
 from .queries import _day, query
@@ -152,15 +152,13 @@ def preview(spark, d):
 
 @query("year_lists", f"{A} SELECT a.publisher, a.year, a.pos, a.title, a.promulgation_date::VARCHAR AS promulgation_date, count(*) OVER (PARTITION BY a.publisher, a.year) AS stated, EXISTS (SELECT 1 FROM e WHERE e.pos = a.pos) AS refers FROM a")
 def year_lists(spark, d):
-    """IO4, IO5: a list of each publisher's year, written as a file of JSON and read back as acts."""
+    """IO4, IO5: a list of each publisher's year, written as pages of JSON and read back as acts."""
     a = views.acts(spark, d)
     item = F.struct("publisher", "year", "pos", F.concat_ws("/", "publisher", "year", "pos").alias("ELI"), "title", F.col("act_type").alias("type"), F.col("in_force").alias("inForce"), F.col("promulgation_date").cast("string").alias("promulgation"), F.col("act_references").alias("references"))
-    lists = a.groupBy("publisher", "year").agg(F.count("*").alias("count"), F.collect_list(item).alias("items"))
     path = _folder(spark, "lists")
-    lists.select("publisher", "year", F.to_json(F.struct("count", "items")).alias("value")).write.partitionBy("publisher", "year").text(path)
-    found = io.read_year_lists(spark, f"{path}/*/*")
-    rows = io.act_rows(found).withColumn("refers", F.size("act_references") > 0)
-    return rows.join(found.select(*ACT_KEY, "stated"), list(ACT_KEY)).select(*ACT_KEY, "title", _day("promulgation_date"), "stated", "refers")
+    io.write_year_lists(cut(a.select("publisher", "year", item.alias("item"))), path)
+    rows = io.act_rows(io.read_year_lists(spark, f"{path}/*/*", lines=True), "stated").withColumn("refers", F.size("act_references") > 0)
+    return rows.select(*ACT_KEY, "title", _day("promulgation_date"), "stated", "refers")
 
 
 @query("archived", f"{J} SELECT source, doc_id, md5(full_text) AS h FROM j")

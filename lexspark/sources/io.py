@@ -30,9 +30,26 @@ def read_pages(spark: SparkSession, path: str, source: str, kind: str) -> DataFr
     return files.select(F.lit(source).alias("source"), F.lit(kind).alias("kind"), doc_id.alias("doc_id"), "url", "fetched_at", "html")
 
 
-def read_year_lists(spark: SparkSession, path: str) -> DataFrame:
-    """IO4: items of saved year lists, with the count each list states."""
-    lists = spark.read.schema(f"count long, totalCount long, items array<struct<{_struct(ACT_JSON)}>>").json(path, multiLine=True)
+#: Items of one page of a written year list, on average.
+LIST_PAGE = 1000
+
+
+def write_year_lists(items: DataFrame, path: str) -> None:
+    """Lists of each publisher's year in folders by these: pages as lines of JSON, each with the whole list's count.
+
+    Rows: ``publisher``, ``year`` and ``item``, of a written table, as they are counted first. Items are dealt to pages by the hash of their place, so no
+    row or task holds a whole list.
+    """
+    by = ["publisher", "year"]
+    counts = items.groupBy(*by).agg(F.count("*").alias("count"))
+    page = F.pmod(F.xxhash64("item.pos"), F.ceil(F.col("count") / LIST_PAGE))
+    pages = items.join(counts, by).groupBy(*by, "count", page.alias("page")).agg(F.collect_list("item").alias("items"))
+    pages.select(*by, F.to_json(F.struct("count", "items")).alias("value")).write.partitionBy(*by).text(path)
+
+
+def read_year_lists(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """IO4: items of saved year lists, with the count each list states; a file holds one list, or with ``lines`` a page in each line."""
+    lists = spark.read.schema(f"count long, totalCount long, items array<struct<{_struct(ACT_JSON)}>>").json(path, multiLine=not lines)
     return lists.select(F.coalesce("count", "totalCount").alias("stated"), F.inline("items"))
 
 
@@ -50,8 +67,8 @@ def _struct(ddl: str) -> str:
     return "".join(out)
 
 
-def act_rows(details: DataFrame) -> DataFrame:
-    """IO5: details of acts under our names; missing lists and maps are empty."""
+def act_rows(details: DataFrame, *more: str) -> DataFrame:
+    """IO5: details of acts under our names, and columns named in ``more``; missing lists and maps are empty."""
     strings = F.array().cast("array<string>")
     day = lambda c: F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.substring(c, 1, 10))
     refs = F.coalesce("references", F.create_map().cast(_REFS))
@@ -61,7 +78,7 @@ def act_rows(details: DataFrame) -> DataFrame:
         "publisher", "year", "pos", F.col("ELI").alias("eli"), "address", "title", F.col("type").alias("act_type"), "status", F.col("inForce").alias("in_force"),
         day("promulgation").alias("promulgation_date"), day("announcementDate").alias("announcement_date"), day("entryIntoForce").alias("entry_into_force_date"),
         F.coalesce("releasedBy", strings).alias("released_by"), F.coalesce("keywords", strings).alias("keywords"), refs.alias("act_references"),
-        has_consolidated(refs).alias("has_jednolity"), F.col("changeDate").alias("changed_at"),
+        has_consolidated(refs).alias("has_jednolity"), F.col("changeDate").alias("changed_at"), *more,
     )
 
 

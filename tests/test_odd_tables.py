@@ -46,3 +46,16 @@ def test_html_title(spark, odd):
 
 def test_web_text(spark, odd):
     equal(spark, odd, "web_text")
+
+
+def test_year_lists_are_written_in_pages(spark, tmp_path):
+    """A list of many items is several lines, none of which holds it whole; each states the whole count."""
+    from lexspark.sources import io
+
+    item = F.struct(F.lit("DU").alias("publisher"), F.lit(2020).alias("year"), F.col("id").cast("int").alias("pos"))
+    rows = spark.range(5000).select(F.lit("DU").alias("publisher"), F.lit(2020).alias("year"), item.alias("item"))
+    io.write_year_lists(rows, f"{tmp_path}/lists")
+    lines = [len(r.value) for r in spark.read.text(f"{tmp_path}/lists/*/*").collect()]
+    assert len(lines) == 5 and max(lines) < 0.3 * sum(lines)
+    got = io.read_year_lists(spark, f"{tmp_path}/lists/*/*", lines=True).select("pos", "stated").collect()
+    assert sorted(r.pos for r in got) == list(range(5000)) and {r.stated for r in got} == {5000}
