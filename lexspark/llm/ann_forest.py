@@ -12,16 +12,16 @@ than k + 1 of them.
 
 *Search.* A query descends all trees through one priority queue: whichever branch, of any tree, lies
 nearest across a plane is followed next, until the visited leaves hold ``VISIT`` of the forest's entries.
-Leaves are cut into blocks of at most ``BLOCK`` vectors and of queries, joined by leaf; each pair of
-blocks is one matrix product. Whatever comes within ``NEAR`` of a query's (k + 1)-th product is scored by sums in one order,
+A branch is followed when no unfollowed one is nearer, so these are the leaves of the smallest bounds, found for many queries at once.
+Neighbouring leaves of a tree are one chunk of about ``CHUNK`` bytes of vectors. A query goes to a chunk once, with a bit for each of
+its leaves, instead of once to each leaf; each leaf and the queries that visit it are one matrix product.
+Whatever comes within ``NEAR`` of a query's (k + 1)-th product is scored by sums in one order,
 so that a pair has the same score wherever it was met, and the k + 1 entries of the highest scores, equal ones by their
-smallest ids, are kept for each query and block, and then of all blocks.
+smallest ids, are kept for each query and chunk, and then of all chunks.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-TREES, SAMPLE, FIT_LEAF, LEAF, BLOCK, VISIT, SEED = 8, 16_384, 32, 128, 2048, 0.2, 5
+TREES, SAMPLE, FIT_LEAF, LEAF, VISIT, SEED = 8, 16_384, 32, 128, 0.2, 5
+#: Bytes of vectors of a chunk and of the queries that meet it at once; cells of a table of queries by leaves.
+CHUNK, CELLS = 16 << 20, 4_000_000
 #: More than what a product of unit vectors and their score may differ by.
 NEAR = 1e-9
 
@@ -42,6 +44,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, trees: int, leaf: int):
         rng = np.random.RandomState(SEED)
         self.roots, self.planes, self.cuts, self.children, self.n_leaves = [], [], [], [], 0
+        self.starts: list[int] = []  # the first leaf of each tree
 
         def grow(rows: np.ndarray) -> int:
             if len(rows) > leaf:
@@ -63,6 +66,7 @@ class Forest:
             return -self.n_leaves
 
         for _ in range(trees):
+            self.starts.append(self.n_leaves)
             self.roots.append(grow(np.arange(len(sample))))
         self.planes = np.array(self.planes).reshape(len(self.planes), sample.shape[1])
 
@@ -80,6 +84,21 @@ class Forest:
                     todo += [(self.children[k][0], rows[~right]), (self.children[k][1], rows[right])]
         return out
 
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """How far across planes each leaf lies from each unit vector: the largest distance on its path; -1 for the vector's own leaves."""
+        z = x @ self.planes.T - np.array(self.cuts) if len(self.planes) else np.zeros((len(x), 0))
+        nodes, out = np.empty((len(self.planes), len(x))), np.empty((self.n_leaves, len(x)))
+        at = lambda k: (nodes, k) if k >= 0 else (out, -k - 1)
+        for root in self.roots:
+            into, k = at(root)
+            into[k] = -1.0
+        for k, pair in enumerate(self.children):  # a node comes before its children
+            right, across = z[:, k] > 0, np.maximum(nodes[k], np.abs(z[:, k]))
+            for child, far in zip(pair, (np.where(right, across, nodes[k]), np.where(right, nodes[k], across)), strict=True):
+                into, c = at(child)
+                into[c] = far
+        return out.T
+
 
 def _deeper(leaf: int, dim: int, levels: int) -> np.ndarray:
     """The planes drawn below a fitted leaf, one for each level."""
@@ -183,67 +202,94 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                 r, c = np.nonzero(f == leaf)
                 part[r, c] = bits(int(leaf), u[r])[0]
             take = pa.array(np.repeat(np.arange(len(u)), f.shape[1]))
-            cols = [pa.array(f.ravel()), pa.array(part.ravel()), *[batch.column(c).take(take) for c in ("key", "low", "x")]]
-            yield pa.RecordBatch.from_arrays(cols, names=["fit", "part", "key", "low", "x"])
+            leaf = (first[f] + part).ravel()
+            cols = [pa.array(chunk[leaf]), pa.array(leaf - edges[chunk[leaf]]), *[batch.column(c).take(take) for c in ("key", "low", "x")]]
+            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "leaf", "key", "low", "x"])
+
+    # Leaves below the fitted ones are numbered through all of these; chunks are runs of them within a tree.
+    below = np.array([1 << levels.get(leaf, 0) for leaf in range(forest.n_leaves)])
+    first = np.cumsum(below) - below
+    held = np.repeat([share.get(leaf, 0.0) for leaf in range(forest.n_leaves)], below)
+    per = max(1, CHUNK // (8 * dim))
+    chunk = np.zeros(len(held), np.int64)
+    for start, end in zip(first[forest.starts], [*first[forest.starts[1:]], len(held)], strict=True):
+        chunk[start:end] = (np.cumsum(held[start:end]) - held[start:end]) // per + (chunk[start - 1] + 1 if start else 0)
+    edges = np.searchsorted(chunk, np.arange(chunk[-1] + 2))
+
+    def visited(u: np.ndarray) -> np.ndarray:
+        """Whether each query visits each leaf."""
+        far = sent.value.bounds(u)
+        out = np.empty((len(u), len(held)))
+        out[:, first] = far
+        for leaf in np.nonzero(below > 1)[0]:
+            planes = _deeper(int(leaf), dim, levels[int(leaf)])
+            own = u @ planes.T
+            size, parts, most = np.abs(own) / np.linalg.norm(planes, axis=1), np.arange(below[leaf]), np.repeat(far[:, leaf, None], below[leaf], axis=1)
+            for b in range(own.shape[1]):
+                other = (own[:, b, None] > 0) != (parts >> b & 1).astype(bool)
+                most = np.maximum(most, np.where(other, size[:, b, None], -1.0))
+            out[:, first[leaf] : first[leaf] + below[leaf]] = most
+        order = np.argsort(out, axis=1, kind="stable")
+        size = held[order]
+        taken = np.zeros(out.shape, bool)
+        np.put_along_axis(taken, order, np.cumsum(size, axis=1) - size < visit * total, axis=1)
+        return taken & (held > 0)
 
     def visits(batches):
-        forest = sent.value
+        step = max(1, CELLS // len(held))
         for batch in batches:
-            u = _unit(_vectors(batch.column("x")))
-            side = u @ forest.planes.T if len(forest.planes) else np.zeros((len(u), 0))
-            out: list[tuple[int, int, int]] = []
-            for i in range(len(u)):
-                heap = [(-1.0, t, root, 0, 0) for t, root in enumerate(forest.roots)]
-                held = 0.0
-                while heap and held < visit * total:
-                    far, t, node, level, part = heapq.heappop(heap)
-                    while node >= 0:
-                        z = side[i, node] - forest.cuts[node]
-                        near, other = forest.children[node][::-1] if z > 0 else forest.children[node]
-                        heapq.heappush(heap, (max(far, abs(z)), t, other, 0, 0))
-                        node = near
-                    leaf = -node - 1
-                    if levels.get(leaf, 0):
-                        own = bits(leaf, u[i : i + 1])[1][0]
-                        scale = np.linalg.norm(_deeper(leaf, dim, len(own)), axis=1)
-                        if not level:
-                            part = int((own > 0) @ (1 << np.arange(len(own), dtype=np.int64)))
-                        # Branches across one drawn plane each; deeper ones only after those above them.
-                        for b in range(level, len(own)):
-                            heapq.heappush(heap, (max(far, abs(own[b]) / scale[b]), t, node, b + 1, part ^ (1 << b)))
-                    if leaf in share:
-                        out.append((i, leaf, part))
-                        held += share[leaf]
-            q = np.array(out, np.int64).reshape(-1, 3)
-            take = pa.array(q[:, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(q[:, 1]), pa.array(q[:, 2]), batch.column("vec_id").take(take), batch.column("x").take(take)], names=["fit", "part", "query_id", "qx"])
-
-    leaves = entries.select("key", F.get("ids", 0).alias("low"), "x").mapInArrow(index, "fit long, part long, key long, low long, x array<double>")
+            x = _vectors(batch.column("x"))
+            for i in range(0, len(x), step):
+                taken, rows, ids = visited(_unit(x[i : i + step])), batch.column("x").slice(i, step), batch.column("vec_id").slice(i, step)
+                found, bits = [], []
+                for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    who = np.nonzero(taken[:, a:b].any(axis=1))[0]
+                    found.append((np.full(len(who), c), who))
+                    bits += [m.tobytes() for m in np.packbits(taken[who, a:b], axis=1)]
+                to, who = (np.concatenate(f) for f in zip(*found, strict=True))
+                cols = [pa.array(to), ids.take(pa.array(who)), rows.take(pa.array(who)), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "query_id", "qx", "seen"])
+
+    leaves = entries.select("key", F.get("ids", 0).alias("low"), "x").mapInArrow(index, "chunk long, leaf long, key long, low long, x array<double>")
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
     spread = max(1, vectors.sparkSession.sparkContext.defaultParallelism * 4)
-    asked = queries.repartition(spread, "vec_id").mapInArrow(visits, "fit long, part long, query_id long, qx array<double>")
+    asked = queries.repartition(spread, "vec_id").mapInArrow(visits, "chunk long, query_id long, qx array<double>, seen binary")
     leaves, asked = materialise(leaves, "leaves"), materialise(asked, "visits")
-    # Blocks of bounded size: a leaf of n entries is dealt into n / BLOCK salts, and so are its queries.
-    held = leaves.groupBy("fit", "part").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    wanted = asked.groupBy("fit", "part").agg(F.ceil(F.count("*") / BLOCK).alias("turns"))
-    grid = held.join(wanted, ["fit", "part"])
-    left = leaves.join(grid, ["fit", "part"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
-    right = asked.join(grid, ["fit", "part"]).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    # Blocks of bounded size: a chunk of n entries is dealt into n / per salts, and so are its queries.
+    stored = leaves.groupBy("chunk").agg(F.ceil(F.count("*") / per).alias("salts"))
+    wanted = asked.groupBy("chunk").agg(F.ceil(F.count("*") / per).alias("turns"))
+    grid = stored.join(wanted, "chunk")
+    left = leaves.join(grid, "chunk").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    right = asked.join(grid, "chunk").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
 
     def compare(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(q):
             return pd.DataFrame({"query_id": [], "key": [], "low": [], "score": []})
+        a = a.sort_values("leaf")
         x, y = np.stack(a.x.to_numpy()), np.stack(q.qx.to_numpy())
-        near = _unit(y) @ _unit(x).T
-        few = min(k + 1, near.shape[1])
-        at_least = np.partition(near, near.shape[1] - few, axis=1)[:, near.shape[1] - few]
-        i, j = np.nonzero(near >= at_least[:, None] - NEAR)
+        ux, uy = _unit(x), _unit(y)
+        seen = np.frombuffer(b"".join(q.seen), np.uint8).reshape(len(q), -1)
+        numbers, starts = np.unique(a.leaf.to_numpy(), return_index=True)
+        top, found = np.full((len(q), k + 1), -np.inf), []  # the best products so far; a key is in one leaf of a chunk
+        for leaf, start, end in zip(numbers, starts, [*starts[1:], len(a)], strict=True):
+            who = np.nonzero(seen[:, leaf >> 3] >> (7 - (leaf & 7)) & 1)[0]
+            for w in np.array_split(who, 1 + len(who) * (end - start) // CELLS):
+                near = uy[w] @ ux[start:end].T
+                better = (near > top[w, :1]).any(axis=1)
+                few = min(k + 1, end - start)
+                best = np.partition(near[better], end - start - few, axis=1)[:, end - start - few :]
+                top[w[better]] = np.sort(np.concatenate([top[w[better]], best], axis=1), axis=1)[:, few:]
+                i, j = np.nonzero(near >= top[w, :1] - NEAR)
+                found.append((w[i], start + j, near[i, j]))
+        i, j, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        kept = near >= top[i, 0] - NEAR
+        i, j = i[kept], j[kept]
         out = pd.DataFrame({"query_id": q.query_id.to_numpy()[i], "key": a.key.to_numpy()[j], "low": a.low.to_numpy()[j], "score": _cosines(x[j], y[i])})
         out = out.sort_values(["query_id", "score", "low"], ascending=[True, False, True])
         return out[out.groupby("query_id").cumcount() <= k]
 
-    by = ["fit", "part", "salt", "turn"]
-    met = left.select(*by, "key", "low", "x").groupBy(*by).cogroup(right.select(*by, "query_id", "qx").groupBy(*by)).applyInPandas(compare, "query_id long, key long, low long, score double")
+    by = ["chunk", "salt", "turn"]
+    met = left.select(*by, "leaf", "key", "low", "x").groupBy(*by).cogroup(right.select(*by, "query_id", "qx", "seen").groupBy(*by)).applyInPandas(compare, "query_id long, key long, low long, score double")
     met = met.groupBy("query_id", "key", "low").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "low")
     met = materialise(met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r", "low"), "met")

@@ -77,3 +77,22 @@ def test_drawn_planes_below_fitted_leaves(spark, monkeypatch):
     want = brute(list(range(3000)), x, list(range(0, 3000, 50)))
     hits = sum(len({i for i, _ in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id"))
     assert hits / 300 > 0.9
+
+
+def test_a_query_goes_to_a_chunk_once(spark, monkeypatch, tmp_path):
+    """Rows of visits are queries by chunks, however many leaves a query visits; bounds are largest distances on paths."""
+    from lexspark.llm import shared
+
+    made = {}
+    monkeypatch.setattr(A, "materialise", lambda df, name: made.setdefault(name, shared.materialise(df, name)))
+    x = np.random.default_rng(8).normal(size=(2000, 8))
+    A.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    assert made["visits"].count() <= 40 * A.TREES and made["leaves"].count() == 2000 * A.TREES
+    forest = A.Forest(A._unit(x), 2, 32)
+    far, own = forest.bounds(A._unit(x[:50])), forest.leaves(A._unit(x[:50]))
+    assert ((far < 0).sum(axis=1) == 2).all() and (np.take_along_axis(far, own, axis=1) == -1).all()
+    node = forest.roots[0]
+    while node >= 0:  # to the last leaf of the first tree
+        node, z = forest.children[node][1], (A._unit(x[:50]) @ forest.planes[node] - forest.cuts[node])
+        worst = np.where(z > 0, -1.0, np.abs(z)) if "worst" not in locals() else np.maximum(worst, np.where(z > 0, -1.0, np.abs(z)))
+    assert np.allclose(far[:, -node - 1], worst)
