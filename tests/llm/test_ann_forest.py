@@ -88,11 +88,11 @@ def test_a_query_goes_to_a_chunk_once(spark, monkeypatch, tmp_path):
     x = np.random.default_rng(8).normal(size=(2000, 8))
     A.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
     assert made["visits"].count() <= 40 * A.TREES and made["leaves"].count() == 2000 * A.TREES
-    forest = A.Forest(A._unit(x), 2, 32)
-    far, own = forest.bounds(A._unit(x[:50])), forest.leaves(A._unit(x[:50]))
+    forest, y = A.Forest(A._unit(x), 2, 32), A._unit(np.random.default_rng(9).normal(size=(50, 8)))
+    far, own = forest.bounds(y), forest.leaves(y)
     assert ((far < 0).sum(axis=1) == 2).all() and (np.take_along_axis(far, own, axis=1) == -1).all()
-    node = forest.roots[0]
+    node, worst = forest.roots[0], np.full(50, -1.0)
     while node >= 0:  # to the last leaf of the first tree
-        node, z = forest.children[node][1], (A._unit(x[:50]) @ forest.planes[node] - forest.cuts[node])
-        worst = np.where(z > 0, -1.0, np.abs(z)) if "worst" not in locals() else np.maximum(worst, np.where(z > 0, -1.0, np.abs(z)))
+        z = y @ forest.planes[node] - forest.cuts[node]
+        worst, node = np.maximum(worst, np.where(z > 0, -1.0, np.abs(z))), forest.children[node][1]
     assert np.allclose(far[:, -node - 1], worst)
