@@ -59,3 +59,28 @@ def test_year_lists_are_written_in_pages(spark, tmp_path):
     assert len(lines) == 5 and max(lines) < 0.3 * sum(lines)
     got = io.read_year_lists(spark, f"{tmp_path}/lists/*/*", lines=True).select("pos", "stated").collect()
     assert sorted(r.pos for r in got) == list(range(5000)) and {r.stated for r in got} == {5000}
+
+
+def test_a_batch_leaves_no_scratch_tables(spark, tmp_path, monkeypatch):
+    """Postings are those of the texts, sorted by token, and what a batch and a compaction wrote for themselves is gone."""
+    import os
+
+    from lexspark import session
+    from lexspark.operators import search
+    from lexspark.plans import stored, views
+    from lexspark.streaming import store
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}/scratch")
+    j = stored.whole(spark, views.judgments(spark, SF)).where(F.col("doc_id").cast("long") < 40)
+    s = store.judgment_store(spark, f"file://{tmp_path}/store", indexed=True, buckets=4)
+    for n in (0, 1):
+        s.put(j.withColumn("full_text", F.concat("full_text", F.lit(" the" * n))), n, F.lit("2020-03-01").cast("timestamp"), ["judgment_date"], j.where("doc_id = '7'") if n else None)
+        want = search.postings(s.last(), s.said()).select("source", "doc_id", "token", "tf")
+        got = s.postings().where(F.col("version") == 2 * n).select("source", "doc_id", "token", "tf")
+        got = got if not n else got.where("doc_id <> '7'")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    s.compact(1)
+    want = search.postings(s.last(), s.said()).select("source", "doc_id", "token", "tf")
+    got = s.postings().select("source", "doc_id", "token", "tf")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert [f for f in os.listdir(f"{tmp_path}/scratch") if f.startswith("cut-")] == []
